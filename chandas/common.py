@@ -49,9 +49,13 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+#: White space, as a class for regular expressions; zero-width characters are not white space.
+WHITE = r"\t-\r\x1C-\x20\x85\xA0\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+
+
 def blank_trim(c: Column) -> Column:
     """Without outer white space of any kind."""
-    return F.regexp_replace(c, r"^[\s  -   　﻿]+|[\s  -   　﻿]+$", "")
+    return F.regexp_replace(c, f"^[{WHITE}]+|[{WHITE}]+$", "")
 
 
 def latest(df: DataFrame, keys: list[str], by: list[str], keep: list[str]) -> DataFrame:

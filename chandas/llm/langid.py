@@ -36,7 +36,7 @@ NAMES = {
 _TAG = re.compile(r"^(?:(?:Mandala|Sukta|Devatas|Rishis|Categories):.*|\[(?:Verse|Hymn)[^\]]*\]|\s*)$")
 _LEAD = re.compile(r"^(?:>\s*)?(?:(?:DEV|IAST|ENG):)?\s*")
 _PAREN = re.compile(r"\([^()]*\)")
-_CUT = re.compile(r"[.;!?।॥](?=\s|$)|\n")
+_CUT = re.compile(r"(?:[.;!?।॥]|\|+)(?=\s|$)|\n")
 
 
 def standard_language(c: Column) -> Column:

@@ -59,12 +59,15 @@ def infer(words: Column) -> Column:
     """
     n = syllables.iast_count
     some = F.filter(F.transform(words, lambda w: F.struct(n(w).alias("n"), (w.endswith("a") & (n(w) > 1)).alias("r"))), lambda x: x["n"] > 0)
+    return text.let(some, _first_fit)
+
+
+def _first_fit(some: Column) -> Column:
     total = F.aggregate(some, F.lit(0), lambda a, x: a + x["n"])
     less = F.size(F.filter(some, lambda x: x["r"]))
     out = F.lit(None).cast(_EMPTY)
     for pattern in reversed(PATTERNS.values()):
         k, want = len(pattern), F.array(*map(F.lit, pattern))
-
         fits = F.array_contains(F.aggregate(some, F.array(F.lit(0)), _step(k, want)), k * 100)
         admissible = (F.lit(sum(pattern)) <= total) & (F.lit(sum(pattern)) >= total - less)
         out = F.when(admissible & fits, want).otherwise(out)
@@ -73,13 +76,17 @@ def infer(words: Column) -> Column:
 
 def pada_counts(dev: Column, iast: Column) -> Column:
     """Explicit counts of three or more segments; else the inferred pattern; else explicit counts, if any; else from Devanagari."""
-    explicit = iast_counts(iast)
     found = infer(text.words(F.coalesce(iast, F.lit(""))))
-    return F.when(F.size(explicit) >= 3, explicit).otherwise(F.coalesce(found, F.when(F.size(explicit) > 0, explicit), dev_counts(dev)))
+    choose = lambda x: F.when(F.size(x) >= 3, x).otherwise(F.coalesce(found, F.when(F.size(x) > 0, x), dev_counts(dev)))
+    return text.let(iast_counts(iast), choose)
 
 
 def detect(counts: Column) -> Column:
     """Name of the meter of pada counts."""
+    return text.let(counts, _name)
+
+
+def _name(counts: Column) -> Column:
     size = F.size(counts)
     within = lambda *n: (size > 0) & F.forall(counts, lambda x: x.isin(*n))
     has = lambda n: F.array_contains(counts, n)

@@ -75,11 +75,26 @@ def phoneme_base(c: Column) -> Column:
     return F.coalesce(F.try_element_at(F.array(*map(F.lit, names)), F.nullif(_coded(c, groups), F.lit(0))), c)
 
 
+def features(c: Column) -> Column:
+    """Struct of type, class, consonantClass, vowelLength, base: one lookup for all of them."""
+    names = ("type", "class", "consonantClass", "vowelLength", "base")
+
+    def row(x):
+        k = CLASS_OF[x]
+        length = "Short" if x in SHORT else "Long" if x in LONG else "Diphthong" if x in DIPHTHONG else "None"
+        return ("Vowel" if k == "Vowel" else "Consonant", k, "None" if k == "Vowel" else k, length, BASE_OF[x])
+
+    known = list(CLASS_OF)
+    table = F.array(*[F.struct(*[F.lit(v).alias(n) for v, n in zip(row(x), names)]) for x in known])
+    other = F.struct(*[F.lit(v).alias(n) for v, n in zip(("Other", "Other", "None", "None"), names)], c.alias("base"))
+    return F.coalesce(F.try_element_at(table, F.nullif(_coded(c, [[x] for x in known]), F.lit(0))), other)
+
+
 def letter(value: Column, marks: Column) -> Column:
     """LETTER of a Devanagari letter and the accent marks after it: the last mark counts, none means udatta."""
     last = F.substring(marks, -1, 1)
     kind = F.when(last.isin(*text.SVARITA), "svarita").when(last.isin(*text.ANUDATTA), "anudatta").otherwise("udatta")
-    return F.struct(value.alias("value"), (F.length(marks) > 0).alias("has_swara"), kind.alias("swara_type"), phoneme_class(value).alias("phoneme_class"))
+    return F.struct(value.alias("value"), (F.length(marks) > 0).alias("has_swara"), kind.alias("swara_type"))
 
 
 def marked_units(word: Column) -> Column:

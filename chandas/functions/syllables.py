@@ -62,25 +62,37 @@ def line_weights(words: Column) -> Column:
     return F.flatten(F.transform(words, dev_weights))
 
 
+def _starts(tokens: Column) -> Column:
+    """Place of each token's first letter, from 0, and of the end."""
+    return F.aggregate(tokens, F.array(F.lit(0)), lambda a, t: F.concat(a, F.array(F.element_at(a, -1) + F.length(t))))
+
+
+def _pick(letters: Column, kinds: Column, *wanted: str) -> Column:
+    return F.filter(letters, lambda x, j: F.try_element_at(kinds, j + 1).isin(*wanted))
+
+
 def dev_syllables(word: Column) -> Column:
     """Array of syllable structs (onset, nucleus, coda, swaras, weight) of a Devanagari word."""
-    letters, tokens = P.dev_letters(word), dev_tokens(dev_code(_plain(word)))
-    start = lambda i: F.aggregate(F.slice(tokens, 1, i), F.lit(0), lambda a, t: a + F.length(t))
 
-    def one(t, i):
-        own = F.slice(letters, start(i) + 1, F.length(t))
-        kinds = F.split(t, "")
-        before = F.length(F.regexp_extract(t, r"^((?:C(?=x)|[xmb])*)", 1))
-        nucleus = F.try_element_at(own, before + 1)
-        consonant = F.substring(t, before + 1, F.lit(1)) == "C"
-        front = F.filter(F.slice(own, 1, before), lambda x, j: F.try_element_at(kinds, j + 1) == "C")
-        onset = F.when(consonant, F.concat(front, F.array(nucleus))).otherwise(front)
-        coda = F.filter(F.slice(own, before + 2, F.length(t)), lambda x, j: F.try_element_at(kinds, before + j + 2).isin("C", "m"))
-        sign = F.substring(t, before + 1, F.lit(1)).isin("s", "S")
-        swaras = F.when(sign, F.array().cast("array<string>")).otherwise(F.array(nucleus["swara_type"]))
+    def parts(x, t):
+        """x: the syllable's letters, kinds, and number of letters before the nucleus."""
+        n = x["before"]
+        nucleus, kind = F.try_element_at(x["own"], n + 1), F.try_element_at(x["kinds"], n + 1)
+        front = _pick(F.slice(x["own"], 1, n), x["kinds"], "C")
+        onset = F.when(kind == "C", F.concat(front, F.array(nucleus))).otherwise(front)
+        coda = _pick(F.slice(x["own"], n + 2, F.size(x["own"])), F.slice(x["kinds"], n + 2, F.size(x["kinds"])), "C", "m")
+        swaras = F.when(kind.isin("s", "S"), F.array().cast("array<string>")).otherwise(F.array(nucleus["swara_type"]))
         return F.struct(onset.alias("onset"), nucleus.alias("nucleus"), coda.alias("coda"), swaras.alias("swaras"), token_weight(t).alias("weight"))
 
-    return F.transform(tokens, one)
+    def one(e, t, i):
+        own = F.slice(e["letters"], F.try_element_at(e["starts"], i + 1) + 1, F.length(t))
+        before = F.length(F.regexp_extract(t, r"^((?:C(?=x)|[xmb])*)", 1))
+        return text.let(F.struct(own.alias("own"), F.split(t, "").alias("kinds"), before.alias("before")), lambda x: parts(x, t))
+
+    return text.let(
+        text.let(dev_tokens(dev_code(_plain(word))), lambda t: F.struct(P.dev_letters(word).alias("letters"), t.alias("tokens"), _starts(t).alias("starts"))),
+        lambda e: F.transform(e["tokens"], lambda t, i: one(e, t, i)),
+    )
 
 
 _VOWEL_UNIT = "ai|au|[aāiīuūṛṝḷeo]"
@@ -106,22 +118,27 @@ def _iast_code(units: Column) -> Column:
 
 def iast_syllables(word: Column) -> Column:
     """Array of (onset, nucleus, coda, weight) of Roman letters. Trailing consonants close the last syllable."""
-    units = P.iast_units(word)
-    code = _iast_code(units)
-    tokens = F.regexp_extract_all(code, F.lit(r"[Cbm]*[vw]m*(?:[Cbm]*$)?"), F.lit(0))
-    start = lambda i: F.aggregate(F.slice(tokens, 1, i), F.lit(0), lambda a, t: a + F.length(t))
-
-    def one(t, i):
-        own, kinds = F.slice(units, start(i) + 1, F.length(t)), F.split(t, "")
-        before = F.length(F.regexp_extract(t, "^([Cbm]*)", 1))
-        onset = F.filter(F.slice(own, 1, before), lambda x, j: F.try_element_at(kinds, j + 1) == "C")
-        rest = lambda k: F.filter(F.slice(own, before + 2, F.length(t)), lambda x, j: F.try_element_at(kinds, before + j + 2) == k)
+    cut = lambda c: F.regexp_extract_all(c, F.lit(r"[Cbm]*[vw]m*(?:[Cbm]*$)?"), F.lit(0))
+
+    def parts(x):
+        n = x["before"]
+        rest, kinds = F.slice(x["own"], n + 2, F.size(x["own"])), F.slice(x["kinds"], n + 2, F.size(x["kinds"]))
         # a coda mark that stands before the next vowel's consonants belongs to this syllable
-        after = F.coalesce(F.regexp_extract(F.try_element_at(tokens, i + 2), "^([Cbm]*)", 1), F.lit(""))
-        follow = F.slice(units, start(i + 1) + 1, F.length(after))
-        stray = F.filter(follow, lambda x, j: F.substring(after, j + 1, F.lit(1)) == "m")
-        coda = F.concat(rest("m"), stray, rest("C"))
-        heavy = (F.size(coda) > 0) | (F.substring(t, before + 1, F.lit(1)) == "w")
-        return F.struct(onset.alias("onset"), F.try_element_at(own, before + 1).alias("nucleus"), coda.alias("coda"), F.when(heavy, "heavy").otherwise("light").alias("weight"))
-
-    return F.transform(tokens, one)
+        coda = F.concat(_pick(rest, kinds, "m"), _pick(x["follow"], F.split(x["after"], ""), "m"), _pick(rest, kinds, "C"))
+        nucleus, long = F.try_element_at(x["own"], n + 1), F.try_element_at(x["kinds"], n + 1) == "w"
+        out = lambda c: F.struct(_pick(F.slice(x["own"], 1, n), x["kinds"], "C").alias("onset"), nucleus.alias("nucleus"), c.alias("coda"), F.when((F.size(c) > 0) | long, "heavy").otherwise("light").alias("weight"))
+        return text.let(coda, out)
+
+    def one(e, t, i):
+        start = lambda j: F.try_element_at(e["starts"], j + 1)
+        after = F.coalesce(F.regexp_extract(F.try_element_at(e["tokens"], i + 2), "^([Cbm]*)", 1), F.lit(""))
+        return text.let(
+            F.struct(
+                F.slice(e["units"], start(i) + 1, F.length(t)).alias("own"), F.split(t, "").alias("kinds"), F.length(F.regexp_extract(t, "^([Cbm]*)", 1)).alias("before"),
+                after.alias("after"), F.slice(e["units"], start(i + 1) + 1, F.length(after)).alias("follow"),
+            ),
+            parts,
+        )
+
+    with_tokens = lambda u: text.let(cut(_iast_code(u)), lambda t: F.struct(u.alias("units"), t.alias("tokens"), _starts(t).alias("starts")))
+    return text.let(text.let(P.iast_units(word), with_tokens), lambda e: F.transform(e["tokens"], lambda t, i: one(e, t, i)))

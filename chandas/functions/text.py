@@ -14,6 +14,11 @@ SPACE = r"[ \t\n\x0B\f\r]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with the value evaluated once, however often the body names it (lambdas would evaluate it anew)."""
+    return F.transform(F.array(value), body)[0]
+
+
 def split_code_points(c: Column) -> Column:
     """One element for each code point; an empty string gives an empty array."""
     return F.when(c == "", F.array().cast("array<string>")).otherwise(F.split(c, ""))
@@ -83,5 +88,6 @@ def ngrams(units: Column, n: int) -> Column:
         return F.array().cast("array<string>")
     if n == 0:
         return F.array_repeat(F.lit(""), F.size(units) + 1)
-    starts = F.when(F.size(units) >= n, F.sequence(F.lit(1), F.size(units) - (n - 1))).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda i: F.array_join(F.slice(units, i, F.lit(n)), ""))
+    none = F.array().cast("array<int>")
+    starts = lambda u: F.when(F.size(u) >= n, F.sequence(F.lit(1), F.size(u) - (n - 1))).otherwise(none)
+    return let(units, lambda u: F.transform(starts(u), lambda i: F.array_join(F.slice(u, i, F.lit(n)), "")))

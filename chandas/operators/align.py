@@ -78,7 +78,10 @@ def aligned_words(verses: DataFrame, keys: list[str]) -> DataFrame:
 
 def classify(left, right):
     """Struct of category, subtype, confidence, notes for a left and right word."""
-    a, b = translit.last_unit(left), translit.first_unit(right)
+    return text.let(F.struct(translit.last_unit(left).alias("a"), translit.first_unit(right).alias("b")), lambda u: _classes(u["a"], u["b"]))
+
+
+def _classes(a, b):
     vowel = lambda u: u.isin(*VOWELS)
     same = F.lit(False)
     for f in FAMILIES:
@@ -92,12 +95,14 @@ def classify(left, right):
 
 def boundaries(verses: DataFrame, keys: list[str]) -> DataFrame:
     """One row for each boundary inside a run of two or more Roman words, in the export's columns."""
-    v = with_spans(verses).select(*keys, "dev_words", "iast_words", "iast_dev", F.explode("spans").alias("span")).filter("span.len > 1")
+    v = with_spans(verses).select(*keys, "dev_words", "iast_words", "iast_dev", F.explode_outer("spans").alias("span")).filter("span.len > 1")
     v = v.withColumn("left_index", F.explode(F.sequence(F.col("span.start"), F.col("span.start") + F.col("span.len") - 2)))
     at = lambda src, i: F.try_element_at(src, i + 1)
     part = lambda src, sep: F.array_join(F.slice(src, F.col("span.start") + 1, F.col("span.len")), sep)
     left, right = F.col("left_index"), F.col("left_index") + 1
-    v = v.withColumns({"_l": at("iast_words", left), "_r": at("iast_words", right)}).withColumn("_c", classify(F.col("_l"), F.col("_r")))
+    v = v.withColumns({"_l": at("iast_words", left), "_r": at("iast_words", right)})
+    # the generator keeps the class from being worked out once for each of its columns
+    v = v.select("*", F.explode_outer(F.array(classify(F.col("_l"), F.col("_r")))).alias("_c"))
     return v.select(
         *keys, F.col("span.dev_ord").alias("surface_word_index"), at("dev_words", F.col("span.dev_ord")).alias("surface_dev"), part("iast_words", "").alias("surface_iast"),
         part("iast_dev", " ").alias("segmented_dev"), part("iast_words", " ").alias("segmented_iast"),

@@ -26,7 +26,7 @@ def features(verses: DataFrame, keys: list[str], meter: bool = True) -> DataFram
     out = units.select(*keys, "n", F.inline(both)).filter("key is not null").groupBy(*keys, "kind", "key").agg(F.sum("n").alias("value"))
     if not meter:
         return out
-    w = verses.select(*keys, F.posexplode(syllables.line_weights(text.words("dev"))).alias("place", "weight"))
+    w = verses.select(*keys, F.posexplode_outer(syllables.line_weights(text.words("dev"))).alias("place", "weight")).filter("weight is not null")
     places = w.select(*keys, F.lit("meter").alias("kind"), F.concat_ws(":", F.col("place") + 1, "weight").alias("key"))
     return out.unionByName(places.groupBy(*keys, "kind", "key").agg(F.count(F.lit(1)).alias("value")))
 

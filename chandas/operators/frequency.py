@@ -19,7 +19,8 @@ UNCOUNTED = ("|", "॥")
 def unit_counts(verses: DataFrame, keys: list[str]) -> DataFrame:
     """keys, unit (a letter with its accent marks), n: the one exploded pass that all frequencies come from."""
     units = F.flatten(F.transform(text.words("dev"), P.marked_units))
-    return verses.select(*keys, F.explode(units).alias("unit")).groupBy(*keys, "unit").agg(F.count(F.lit(1)).alias("n"))
+    # outer: an inner explode would first work the array out once more to drop empty ones
+    return verses.select(*keys, F.explode_outer(units).alias("unit")).filter("unit is not null").groupBy(*keys, "unit").agg(F.count(F.lit(1)).alias("n"))
 
 
 def letter_frequency(units: DataFrame, keys: list[str]) -> DataFrame:
@@ -58,7 +59,7 @@ def line_values(dev: Column) -> Column:
 def ngram_frequency(verses: DataFrame, keys: list[str], n: int) -> DataFrame:
     """Letter n-grams of each verse, across word boundaries."""
     grams = text.ngrams(line_values(F.col("dev")), n)
-    return verses.select(*keys, F.explode(grams).alias("ngram")).groupBy(*keys, "ngram").agg(F.count(F.lit(1)).alias("n"))
+    return verses.select(*keys, F.explode_outer(grams).alias("ngram")).filter("ngram is not null").groupBy(*keys, "ngram").agg(F.count(F.lit(1)).alias("n"))
 
 
 def class_sequence(verses: DataFrame, keys: list[str]) -> DataFrame:

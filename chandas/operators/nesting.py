@@ -11,20 +11,10 @@ from chandas.functions import syllables, text
 from . import align
 
 
-def phoneme(value):
-    """Struct of type, class, consonantClass, vowelLength, base."""
-    k = P.phoneme_class(value)
-    return F.struct(
-        P.phoneme_type(value).alias("type"), k.alias("class"), F.when(k.isin("Vowel", "Other"), "None").otherwise(k).alias("consonantClass"),
-        P.vowel_length(value).alias("vowelLength"), P.phoneme_base(value).alias("base"),
-    )
-
-
 def _letter(value, has_swara, swara_type):
-    return F.struct(
-        value.alias("value"), has_swara.alias("hasSwara"), swara_type.alias("swaraType"), P.phoneme_class(value).alias("phonemeClass"),
-        P.vowel_length(value).alias("vowelLength"), phoneme(value).alias("phoneme"),
-    )
+    return text.let(P.features(value), lambda p: F.struct(
+        value.alias("value"), has_swara.alias("hasSwara"), swara_type.alias("swaraType"), p["class"].alias("phonemeClass"), p["vowelLength"].alias("vowelLength"), p.alias("phoneme"),
+    ))
 
 
 def _dev(x):
@@ -47,7 +37,9 @@ def nested_words(verses: DataFrame, keys: list[str]) -> DataFrame:
     none = F.array().cast("array<string>")
     dev = F.transform(syllables.dev_syllables(F.col("text")), lambda s: _syllable(s, _dev, s["swaras"]))
     iast = F.transform(syllables.iast_syllables(F.col("aligned_iast")), lambda s: _syllable(s, _iast, none))
-    w = w.withColumns({"letters": F.transform(P.dev_letters(F.col("text")), _dev), "dev_syllables": dev, "iast_syllables": iast})
+    parts = F.struct(F.transform(P.dev_letters(F.col("text")), _dev).alias("letters"), dev.alias("dev_syllables"), iast.alias("iast_syllables"))
+    # the generator keeps what follows from working the parts out again for each use
+    w = w.select("*", F.explode_outer(F.array(parts)).alias("_p")).select(*w.columns, "_p.*")
     n = F.least(F.size("dev_syllables"), F.size("iast_syllables"))
     pair = F.zip_with(F.slice("dev_syllables", 1, n), F.slice("iast_syllables", 1, n), lambda d, i: F.struct(d.alias("dev"), i.alias("iast")))
     return w.withColumn("alignment", pair)
@@ -68,22 +60,28 @@ def letter_rows(hymns: DataFrame, verses: DataFrame) -> DataFrame:
     Missing letters are null. Verses without a hymn row keep null hymn columns.
     """
     keys = ["hymn_index", "verse_ord"]
-    w = nested_words(verses, keys).select(*keys, "word_ord", "text", F.coalesce(F.nullif("aligned_iast", F.lit("")), "iast_word", F.lit("")).alias("word_iast"), "iast_syllables", F.posexplode("dev_syllables").alias("syllable_index", "s"))
-    w = w.withColumn("t", F.try_element_at("iast_syllables", F.col("syllable_index") + 1))
-    empty = F.filter(_flat(F.col("s")), lambda x: F.lit(False))
-    w = w.withColumns({"d": _flat(F.col("s")), "i": F.coalesce(_flat(F.col("t")), empty)})
-    w = w.withColumn("letter_index", F.explode(F.sequence(F.lit(0), F.greatest(F.size("d"), F.size("i")) - 1)))
+    w = align.aligned_words(verses, keys)
+    shown = F.coalesce(F.nullif("aligned_iast", F.lit("")), "iast_word", F.lit(""))
+    w = w.withColumns({"word_iast": shown, "iast_syllables": syllables.iast_syllables(F.col("aligned_iast")), "dev_syllables": syllables.dev_syllables(F.col("text"))})
+    w = w.select(*keys, "word_ord", "text", "word_iast", "iast_syllables", F.posexplode_outer("dev_syllables").alias("syllable_index", "s")).filter("s is not null")
+    w = w.withColumn("t", F.try_element_at("iast_syllables", F.col("syllable_index") + 1)).drop("iast_syllables")
+    none = F.array().cast("array<string>")
+    w = w.withColumns({"d": _flat(F.col("s")), "i": F.coalesce(_flat(F.col("t")), none)})
+    spelled = lambda c: F.coalesce(F.array_join(c, ""), F.lit(""))
+    w = w.withColumn("letter_index", F.explode_outer(F.sequence(F.lit(0), F.greatest(F.size("d"), F.size("i")) - 1)))
     at = lambda c: F.try_element_at(c, F.col("letter_index") + 1)
-    d, i = at("d"), at("i")
+    # letters are classified one a row, inside code generation
+    w = w.withColumns({"x": at("d"), "y": at("i")})
+    d, i = F.col("x"), F.col("y")
     rows = w.select(
         *keys, F.col("word_ord").alias("Word_Index"), F.col("text").alias("Word_DEV"), F.col("word_iast").alias("Word_IAST"), F.col("syllable_index").alias("Syllable_Index"),
-        F.concat(_spelled("s.onset"), F.col("s.nucleus.value"), _spelled("s.coda")).alias("Syllable_DEV"),
-        F.coalesce(F.concat(_spelled("t.onset"), F.col("t.nucleus.value"), _spelled("t.coda")), F.lit("")).alias("Syllable_IAST"),
+        F.concat(_spelled("s.onset"), F.col("s.nucleus.value"), _spelled("s.coda")).alias("Syllable_DEV"), spelled("i").alias("Syllable_IAST"),
         _spelled("s.onset").alias("Syllable_Onset"), F.col("s.nucleus.value").alias("Syllable_Nucleus"), _spelled("s.coda").alias("Syllable_Coda"),
-        F.col("s.weight").alias("Syllable_Weight"), F.array_join("s.swaras", "|").alias("Syllable_Swaras"), _spelled("i").alias("Syllable_IAST_Letters"),
-        F.when(d.isNotNull(), F.col("letter_index")).alias("Letter_Index"), d["value"].alias("Letter_Value"), d["hasSwara"].alias("Letter_HasSwara"), d["swaraType"].alias("Letter_SwaraType"),
-        d["phonemeClass"].alias("Letter_PhonemeClass"), d["vowelLength"].alias("Letter_VowelLength"),
-        F.when(i.isNotNull(), F.col("letter_index")).alias("Letter_IAST_Index"), i["value"].alias("Letter_IAST_Value"), i["phonemeClass"].alias("Letter_IAST_PhonemeClass"), i["vowelLength"].alias("Letter_IAST_VowelLength"),
+        F.col("s.weight").alias("Syllable_Weight"), F.array_join("s.swaras", "|").alias("Syllable_Swaras"), spelled("i").alias("Syllable_IAST_Letters"),
+        F.when(d.isNotNull(), F.col("letter_index")).alias("Letter_Index"), d["value"].alias("Letter_Value"), d["has_swara"].alias("Letter_HasSwara"), d["swara_type"].alias("Letter_SwaraType"),
+        F.when(d.isNotNull(), P.phoneme_class(d["value"])).alias("Letter_PhonemeClass"), F.when(d.isNotNull(), P.vowel_length(d["value"])).alias("Letter_VowelLength"),
+        F.when(i.isNotNull(), F.col("letter_index")).alias("Letter_IAST_Index"), i.alias("Letter_IAST_Value"),
+        F.when(i.isNotNull(), P.phoneme_class(i)).alias("Letter_IAST_PhonemeClass"), F.when(i.isNotNull(), P.vowel_length(i)).alias("Letter_IAST_VowelLength"),
     )
     v = verses.select(*keys, F.col("verse_number").alias("Verse"), F.col("meter").alias("Meter"), F.col("dev").alias("Verse_DEV"), F.col("iast").alias("Verse_IAST"))
     bar = lambda c: F.coalesce(F.array_join(c, "|"), F.lit(""))
@@ -110,7 +108,8 @@ def verse_documents(verses: DataFrame) -> DataFrame:
     }
     b = align.boundaries(verses, keys).select(*keys, F.struct(*[F.col(k).alias(v) for k, v in camel.items()]).alias("b"))
     by_boundary = b.groupBy(*keys).agg(F.array_sort(F.collect_list("b"), lambda x, y: x["leftUnderlyingWordIndex"] - y["leftUnderlyingWordIndex"]).alias("sandhi"))
-    counted = lambda values, keep: F.when(F.size(values) >= 0, F.map_from_entries(F.transform(F.array_sort(F.array_distinct(F.filter(values, keep))), lambda k: F.struct(k, F.size(F.filter(values, lambda x: x == k))))))
+    count = lambda kept: F.map_from_entries(F.transform(F.array_sort(F.array_distinct(kept)), lambda k: F.struct(k, F.size(F.filter(kept, lambda x: x == k)))))
+    counted = lambda values, keep: text.let(F.filter(values, keep), count)
     units = F.flatten(F.transform(text.words("dev"), P.marked_units))
     v = verses.withColumn("_u", units).withColumn("_l", F.transform("_u", lambda u: F.substring(u, 1, 1)))
     analysis = F.struct(

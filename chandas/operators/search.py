@@ -99,8 +99,8 @@ def predicate(r: Request, mode: str = "reference") -> Column:
         return _any(lambda c: test(c, r.value), *places)
     if r.kind == "regex":
         if mode == "corrected":
-            return _any(lambda c: c.rlike(r.value), *places)
-        pattern = r.value.encode("utf-8").decode("latin-1")
+            return _any(lambda c: c.rlike("(?d)" + r.value), *places)
+        pattern = "(?d)" + r.value.encode("utf-8").decode("latin-1")  # byte 0x85 is no line end here
         return _any(lambda c: text.bytes_view(c).rlike(pattern), *places)
     if r.kind == "cluster":
         return _cluster(F.col("text" if mode == "reference" else "roman")) >= r.number

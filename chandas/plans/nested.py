@@ -35,3 +35,23 @@ QUERIES = {
     "p5_found": p5_found, "p5_records": _node(""), "p5_words": _node("devWords"), "p5_alignment": _node("devWords.alignment"),
     "p5_sandhi": _node("sandhi"), "p5_letters": _node("analysis.letterFrequency"),
 }
+
+# The first argument of json paths; a bare object counts as an array of one.
+_ARR = "CASE json_type({j}) WHEN 'ARRAY' THEN from_json({j}, '[\"JSON\"]') WHEN 'OBJECT' THEN [{j}] ELSE [] END"
+
+
+def _each(src: str, expr: str, keep: str) -> str:
+    return f"SELECT {keep}, unnest(a) AS j, unnest(range(len(a))) AS i FROM (SELECT *, {_ARR.format(j=expr)} AS a FROM {src})"
+
+
+SQL = {
+    "p5_found": (
+        "WITH b AS (SELECT record_id, regexp_replace(payload, '^[\\s\\x{FEFF}]+|[\\s\\x{FEFF}]+$', '', 'g') AS t FROM verse_json WHERE payload IS NOT NULL), r AS (SELECT DISTINCT record_id, CASE WHEN json_valid(t) THEN t::JSON END AS o FROM b), "
+        f"w AS (SELECT record_id, i::VARCHAR AS o, j FROM ({_each('r', 'json_extract(o, ' + chr(39) + '$.devWords' + chr(39) + ')', 'record_id')})), "
+        f"a AS (SELECT record_id, o || '.' || i AS o, j FROM ({_each('w', 'json_extract(j, ' + chr(39) + '$.alignment' + chr(39) + ')', 'record_id, o')})), "
+        f"n AS (SELECT record_id, o || '.' || i AS o FROM ({_each('a', 'json_extract(j, ' + chr(39) + '$.dev.onset' + chr(39) + ')', 'record_id, o')})), "
+        f"s AS (SELECT record_id, i::VARCHAR AS o FROM ({_each('r', 'json_extract(o, ' + chr(39) + '$.sandhi' + chr(39) + ')', 'record_id')})), "
+        "l AS (SELECT record_id, unnest(json_keys(json_extract(o, '$.analysis.letterFrequency'))) AS o FROM r WHERE json_type(json_extract(o, '$.analysis.letterFrequency')) = 'OBJECT') "
+        "SELECT record_id, 'dev_word' AS node, o AS ordinals FROM w UNION SELECT record_id, 'alignment', o FROM a UNION SELECT record_id, 'onset', o FROM n UNION SELECT record_id, 'sandhi', o FROM s UNION SELECT record_id, 'letter', o FROM l"
+    )
+}

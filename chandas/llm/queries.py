@@ -7,7 +7,7 @@ import unicodedata
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chandas.common import blank_trim, latest, table
+from chandas.common import blank_trim, cut, latest, table
 
 from . import contamination, knn, langid, lookalike, mixing, spans, terms
 
@@ -40,7 +40,7 @@ def verse_vectors(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p1_found(spark: SparkSession, sf: str) -> DataFrame:
-    vectors = verse_vectors(spark, sf)
+    vectors = cut(verse_vectors(spark, sf))  # read three times: by the fit, the index and the probes
     probes = table(spark, sf, "knn_probes").select(F.col("verse_id").alias("id")).distinct()
     near = knn.nearest(vectors, vectors.join(probes, "id", "left_semi"), 5)
     a, b = F.least("query_id", "neighbor_id"), F.greatest("query_id", "neighbor_id")
@@ -49,7 +49,7 @@ def p1_found(spark: SparkSession, sf: str) -> DataFrame:
 
 def p1_knn(spark: SparkSession, sf: str) -> DataFrame:
     """The 5 nearest of every verse whose id is divisible by 100, against all verses."""
-    vectors = verse_vectors(spark, sf)
+    vectors = cut(verse_vectors(spark, sf))
     return knn.nearest(vectors, vectors.filter("id % 100 = 0"), 5)
 
 

@@ -44,6 +44,13 @@ class Request:
     number: int = 0
 
 
+def help_text() -> str:
+    """What is said when a request can't be understood: one example of each kind."""
+    values = {"prefix": "pra", "suffix": "ti", "cluster": "3", "class": "velar", "manner": "nasals", "regex": "a.i", "verse": "soma", "word": "agni"}
+    shown = {kind: f"  {phrases[0]} {values[kind]}" for kind, phrases in reversed(PHRASES)}
+    return "\n".join([NOT_UNDERSTOOD, "Examples:", *shown.values()])
+
+
 def _fold(s: str) -> str:
     return s.translate(str.maketrans(string.ascii_uppercase, string.ascii_lowercase))
 

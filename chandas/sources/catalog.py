@@ -80,10 +80,21 @@ class Session:
         n = self.verses().groupBy("hymn_index").agg(F.count(F.lit(1)).alias("verses"))
         return self.hymns().select("hymn_index", "export_base", "source_path").join(n, "hymn_index", "left").na.fill(0, ["verses"]).orderBy("hymn_index")
 
+    def describe(self) -> dict[str, DataFrame]:
+        """The detail report as frames: verses with pada counts and syllables, aligned words, and frequencies of verses and hymns."""
+        v, keys = self.verses(), ["hymn_index", "verse_ord"]
+        counts = meter.format_counts(meter.pada_counts(F.col("dev"), F.col("iast")))
+        return {
+            "verses": v.withColumn("pada_counts", counts).join(search.syllable_total(v, keys), keys),
+            "words": align.aligned_words(v, keys),
+            "verse_frequency": frequency.analysis_rows(v, keys),
+            "hymn_frequency": frequency.analysis_rows(v, ["hymn_index"]),
+        }
+
     def search(self, query: str, mode: str = "reference") -> DataFrame | str:
         r = search.parse(query)
         if r is None:
-            return search.NOT_UNDERSTOOD
+            return search.help_text()
         return search.search(self.verses(), r, ["hymn_index", "verse_ord", "verse_number"], mode).orderBy("hymn_index", "verse_ord", "word_ord")
 
     def coverage(self, query: str) -> DataFrame | str:

@@ -39,7 +39,7 @@ def test_catalog(session):
 
 
 def test_search_and_compare(session):
-    assert session.search("find words containing .") == "Could not understand the search request."
+    assert session.search("find words containing .").startswith("Could not understand the search request.\nExamples:")
     assert session.search("find all verses containing INDRA").count() == 11
     assert session.search("indra").count() == 0  # Roman text of words isn't searched in this mode
     assert session.search("find words beginning with अग्नि").count() >= 4
@@ -51,6 +51,15 @@ def test_search_and_compare(session):
     assert session.compare_hymns("1,3").first().phoneme_cosine_similarity == pytest.approx(1)
 
 
+def test_describe(session):
+    d = session.describe()
+    first = d["verses"].filter("hymn_index = 2 and verse_ord = 1").first()
+    assert first.pada_counts.count("-") == 3 and first.meter == "Tristubh-Jagati Mixed"
+    assert d["words"].filter("hymn_index = 1 and verse_ord = 0").count() == 7
+    total = {r.feat_key: r.feat_value for r in d["hymn_frequency"].filter("hymn_index = 2 and feat_type = 'Swara'").collect()}
+    assert set(total) == {"udatta"}
+
+
 def test_export(session, tmp_path):
     names = session.export(2, str(tmp_path))
     assert len(names) == 5

@@ -143,7 +143,9 @@ def phoneme_features(spark, sf):
 
 
 # search ----------------------------------------------------------------------------------------------------------------
-def _search(name: str, request: str, where: str | None, mode: str = "reference", aligned: bool = False) -> None:
+def _search(name: str, request: str, where: str | None, mode: str = "reference", aligned: bool = True) -> None:
+    """aligned=False: the words' text alone, without the aligned Roman words, which is all the SQL beside it tests."""
+
     def run(spark, sf):
         return search.search(verses(spark, sf), search.parse(request), KEYS, mode, aligned)
 
@@ -152,16 +154,21 @@ def _search(name: str, request: str, where: str | None, mode: str = "reference",
         SQL[name] = f"WITH {_INDEXED} SELECT hymn_index, verse_ord, verse_number, n::INT AS word_ord, word AS dev_word, coalesce(i[n + 1], word) AS iast_word FROM w WHERE {where}"
 
 
-_search("search_words_containing", "find all occurrences of 'स्म'", "contains(word, 'स्म')")
-_search("search_words_prefix", "find words beginning with प्र", "starts_with(word, 'प्र')")
-_search("search_words_suffix", "find words ending with न्ति", "ends_with(word, 'न्ति')")
-_search("search_words_regex", "find vowel span patterns स्[तथ]", "regexp_matches(word, 'स्[तथ]')", "corrected")
-_search("search_words_regex_bytes", "find vowel span patterns स्त.*न", "regexp_matches(word, 'स्त(?s:.)*न')")
-_search("search_phoneme_class", "phoneme class Aspirate", "regexp_matches(word, '[हःhḥ]')")
-_search("search_manner", "manner of articulation nasals", "regexp_matches(word, '[ङञणनमंँṅñṇnmṃṁ]')")
-_search("search_cluster_length", "find consonant clusters of length >= 12", "list_max(list_transform(regexp_split_to_array(word, 'ai|au|[aāiīuūṛṝḷeo।॥|]'), lambda x: length(x))) >= 12")
-_search("search_words_aligned", "find words beginning with प्र", None, aligned=True)
-_search("search_roman_words", "find words containing kṣ", None, "corrected", aligned=True)
+_search("search_words_containing", "find all occurrences of 'स्म'", "contains(word, 'स्म')", aligned=False)
+_search("search_words_prefix", "find words beginning with प्र", "starts_with(word, 'प्र')", aligned=False)
+_search("search_words_suffix", "find words ending with न्ति", "ends_with(word, 'न्ति')", aligned=False)
+_search("search_words_regex", "find vowel span patterns स्[तथ]", "regexp_matches(word, 'स्[तथ]')", "corrected", aligned=False)
+_search("search_words_regex_bytes", "find vowel span patterns स्त.*न", "regexp_matches(word, 'स्त(?s:.)*न')", aligned=False)
+_search("search_phoneme_class", "phoneme class Aspirate", "regexp_matches(word, '[हःhḥ]')", aligned=False)
+_search("search_manner", "manner of articulation nasals", "regexp_matches(word, '[ङञणनमंँṅñṇnmṃṁ]')", aligned=False)
+_search("search_cluster_length", "find consonant clusters of length >= 12", "list_max(list_transform(regexp_split_to_array(word, 'ai|au|[aāiīuūṛṝḷeo।॥|]'), lambda x: length(x))) >= 12", aligned=False)
+# the same five requests in full; no SQL, since the alignment is a fold
+_search("search_words_containing_aligned", "find all occurrences of 'स्म'", None)
+_search("search_words_aligned", "find words beginning with प्र", None)
+_search("search_words_suffix_aligned", "find words ending with न्ति", None)
+_search("search_words_regex_aligned", "find vowel span patterns स्[तथ]", None, "corrected")
+_search("search_words_regex_bytes_aligned", "find vowel span patterns स्त.*न", None)
+_search("search_roman_words", "find words containing kṣ", None, "corrected")
 
 
 @query(f"WITH {V} SELECT hymn_index, verse_ord, verse_number, NULL::INT AS word_ord, '' AS dev_word, '' AS iast_word FROM v WHERE contains(lower(dev), 'river') OR contains(lower(iast), 'river') OR contains(lower(eng), 'river')")

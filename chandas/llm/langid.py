@@ -243,25 +243,30 @@ def stretches(documents: DataFrame, model: Classifier) -> DataFrame:
     return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("text is not null").mapInArrow(_stretches_with(shared), STRETCHES)
 
 
+def languages(documents: DataFrame, model: Classifier) -> DataFrame:
+    """doc_id, lang, chars (in all stretches), longest, confidence, however short the stretches are."""
+    size = F.col("seg_to") - F.col("seg_from")
+    return stretches(documents, model).groupBy("doc_id", "lang").agg(F.sum(size).alias("chars"), F.max(size).alias("longest"), F.max("confidence").alias("confidence"))
+
+
 def held_languages(documents: DataFrame, model: Classifier, least: int = STRETCH) -> DataFrame:
     """doc_id, lang, chars (in all stretches), longest, confidence, main (the language of most characters; ties to the first by name)."""
-    by = stretches(documents, model).groupBy("doc_id", "lang").agg(
-        F.sum(F.col("seg_to") - F.col("seg_from")).alias("chars"), F.max(F.col("seg_to") - F.col("seg_from")).alias("longest"), F.max("confidence").alias("confidence")
-    )
+    by = languages(documents, model)
     main = by.groupBy("doc_id").agg(F.min_by("lang", F.struct(-F.col("chars"), "lang")).alias("main"))
     return by.filter(F.col("longest") >= least).join(main, "doc_id")
 
 
-def relabel(documents: DataFrame, model: Classifier) -> DataFrame:
+def relabel(documents: DataFrame, model: Classifier, least: int = STRETCH) -> DataFrame:
     """doc_id, lang (stored), stored_code, langs (held, sorted), main, confidence of main, wrong.
 
     wrong: the label is missing or names another language than the main one, or several languages are held. One row a
-    document id with recognised text.
+    document id with recognised text; main and confidence come from all its stretches, langs from those of at least
+    `least` characters, so that langs may be empty.
     """
-    found = held_languages(documents, model)
-    per = found.groupBy("doc_id").agg(
-        F.sort_array(F.collect_set("lang")).alias("langs"), F.first("main").alias("main"), F.max(F.when(F.col("lang") == F.col("main"), F.col("confidence"))).alias("confidence")
-    )
+    main = F.min_by(F.struct("lang", "confidence"), F.struct(-F.col("chars"), "lang"))
+    per = languages(documents, model).groupBy("doc_id").agg(
+        F.sort_array(F.collect_set(F.when(F.col("longest") >= least, F.col("lang")))).alias("langs"), main.alias("_main")
+    ).select("doc_id", "langs", F.col("_main.lang").alias("main"), F.col("_main.confidence").alias("confidence"))
     code = standard_language(F.col("lang"))
     docs = documents.select("doc_id", "lang", code.alias("stored_code"))
     wrong = F.col("stored_code").isNull() | (F.col("stored_code") != F.col("main")) | (F.size("langs") > 1)

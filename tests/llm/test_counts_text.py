@@ -110,3 +110,12 @@ def test_languages(spark):
     assert r[1].wrong is False and r[2].langs == ["de", "en"] and r[2].wrong and r[3].langs == ["hi"] and r[3].wrong and r[4].main == "de" and r[4].wrong and r[5].wrong and r[5].main == "en"
     assert not {6, 7, 8} & set(r) and r[9].wrong is False and r[10].wrong is False and 0 < r[1].confidence <= 1
     assert langid.relabel(d.limit(0), m).count() == 0
+
+
+def test_languages_of_short_text(spark):
+    s = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(SAMPLES)], "sample_id long, lang string, sample_text string")
+    en, de = "The river song measures the eleven.", "Der Erklärer schließt die Grenze."
+    d = spark.createDataFrame([(1, en, "en"), (2, de, "en"), (3, "\n".join([en, de] * 5), "en"), (4, "\n".join([en, de, en, SAMPLES[2][1], en, en[:20], de, en]), None)], "doc_id long, text string, lang string")
+    r = {x.doc_id: x for x in langid.relabel(d, langid.fit(s)).collect()}
+    assert {k: (x.main, x.langs, x.wrong) for k, x in r.items()} == {1: ("en", [], False), 2: ("de", [], True), 3: ("en", [], False), 4: ("en", ["de"], True)}
+    assert all(0 < x.confidence <= 1 for x in r.values())

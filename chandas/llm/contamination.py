@@ -236,12 +236,39 @@ def _offsets(text: str) -> list[tuple[str, int, int]]:
     return out + [(word, start, end)] if word else out
 
 
+SPANS = T.StructType([
+    T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType()), T.StructField("spans", T.ArrayType(T.IntegerType())),
+])
 CLEAN = T.StructType([
     T.StructField("doc_id", T.LongType()), T.StructField("clean_text", T.StringType()), T.StructField("removed_chars", T.LongType()),
     T.StructField("coverage", T.DoubleType()), T.StructField("dropped", T.BooleanType()),
 ])
 
 
+def _found(auto: Automaton, tokens: list[str], spans: list[int]) -> list[int]:
+    """Spans (from, to, from, to ... in words) with those of one automaton's hits added, sorted, joined where they touch."""
+    hits = auto.stream(tokens) if len(tokens) >= auto.k else []
+    out: list[int] = []
+    for s, e in sorted([*zip(spans[::2], spans[1::2]), *((end - n, end) for end, n, _ in hits)]):
+        if out and s <= out[-1]:
+            out[-1] = max(out[-1], e)
+        else:
+            out += (s, e)
+    return out
+
+
+def _spans_with(block, k):
+    def run(batches):
+        import pyarrow as pa
+
+        auto = Automaton(block, k)
+        for b in batches:
+            got = [_found(auto, words(text) if text else [], spans) for text, spans in zip(b.column(1).to_pylist(), b.column(2).to_pylist())]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(got, pa.list_(pa.int32()))], names=["doc_id", "text", "spans"])
+
+    return run
+
+
 def _clean_with(block, k, cut_words, drop):
     def run(batches):
         import pyarrow as pa
@@ -249,18 +276,13 @@ def _clean_with(block, k, cut_words, drop):
         auto = Automaton(block, k)
         for b in batches:
             rows = []
-            for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+            for doc, text, before in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
                 tokens = words(text) if text else []
-                hits = auto.stream(tokens) if len(tokens) >= k else []
-                if not hits:
+                flat = _found(auto, tokens, before)
+                if not flat:
                     rows.append((doc, text, 0, 0.0, False))
                     continue
-                spans: list[list[int]] = []
-                for end, n, _ in hits:
-                    if spans and end - n <= spans[-1][1]:
-                        spans[-1] = [min(spans[-1][0], end - n), end]
-                    else:
-                        spans.append([end - n, end])
+                spans = list(zip(flat[::2], flat[1::2]))
                 coverage = sum(e - s for s, e in spans) / len(tokens)
                 if coverage > drop:
                     rows.append((doc, "", len(text), coverage, True))
@@ -286,29 +308,14 @@ def clean(documents: DataFrame, items: DataFrame, min_words: int = MIN_WORDS, cu
     """doc_id, clean_text, removed_chars, coverage, dropped: every document without its leaked spans.
 
     Spans of at least cut_words shared words are cut; a document whose words are covered beyond drop_coverage is
-    emptied and marked. Null text stays null. With several blocks of items the passes follow each other; coverage is
-    then the greatest of the passes.
+    emptied and marked. Null text stays null. Spans are places in the original text, gathered over all blocks of items
+    and joined before anything is measured or cut, so the result doesn't depend on how the items are split.
     """
-    out = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").alias("clean_text"), F.lit(0).cast("long").alias("removed_chars"), F.lit(0.0).alias("coverage"), F.lit(False).alias("dropped"))
-    for i, block in enumerate(_blocks(items)):
-        run = _clean_with(block, min_words, cut_words, drop_coverage)
-        if i == 0:
-            out = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, CLEAN)
-            continue
-        out = out.mapInArrow(_again(run), CLEAN)
-    return out
-
-
-def _again(run):
-    def go(batches):
-        import pyarrow as pa
-        import pyarrow.compute as pc
-
-        for b in batches:
-            for n in run(iter([pa.RecordBatch.from_arrays([b.column(0), b.column(1)], names=["doc_id", "text"])])):
-                yield pa.RecordBatch.from_arrays(
-                    [n.column(0), n.column(1), pc.add(b.column(2), n.column(2)), pc.max_element_wise(b.column(3), n.column(3)), pc.or_(b.column(4), n.column(4))],
-                    names=["doc_id", "clean_text", "removed_chars", "coverage", "dropped"],
-                )
-
-    return go
+    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    blocks = _blocks(items)
+    if not blocks:
+        return docs.select("doc_id", F.col("text").alias("clean_text"), F.lit(0).cast("long").alias("removed_chars"), F.lit(0.0).alias("coverage"), F.lit(False).alias("dropped"))
+    out = docs.withColumn("spans", F.array().cast("array<int>"))
+    for block in blocks[:-1]:
+        out = out.mapInArrow(_spans_with(block, min_words), SPANS)
+    return out.mapInArrow(_clean_with(blocks[-1], min_words, cut_words, drop_coverage), CLEAN)

@@ -53,6 +53,24 @@ def test_contamination(spark):
     assert c[7].clean_text.startswith("word word") and "jumps" not in c[7].clean_text
 
 
+def test_cleaning_does_not_depend_on_blocks(spark, monkeypatch):
+    w = [f"w{i}" for i in range(60)]
+    items = spark.createDataFrame([(1, " ".join(w[:20])), (2, " ".join(w[15:33])), (3, " ".join(w[40:52])), (4, " ".join(w[10:15] + w[52:60]))], "item_id long, item_text string")
+    docs = [
+        (1, " ".join(w[:33] + ["x"] * 3)), (2, " ".join(["x"] * 30 + w[:33] + ["y"] * 30)), (3, " ".join(w[5:15] + w[40:52] + w[52:60] + ["z"] * 20)),
+        (4, " ".join(["x"] * 20 + w[10:15] + w[40:52] + w[52:60] + ["z"] * 20)), (5, None), (6, ""), (7, "plain " * 20),
+    ]
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    whole = sorted(map(tuple, contamination.clean(d, items).collect()))
+    monkeypatch.setattr(contamination, "MAX_BLOCK_WORDS", 1)
+    assert len(contamination._blocks(items)) == 4
+    assert sorted(map(tuple, contamination.clean(d, items).collect())) == whole
+    r = {x[0]: x for x in whole}
+    assert r[1][4] and abs(r[1][3] - 33 / 36) < 1e-9 and r[2][1] == " ".join(["x"] * 30) + "  " + " ".join(["y"] * 30)
+    # where the middle is cut, what stood around it doesn't become a passage
+    assert r[4][1] == " ".join(["x"] * 20 + w[10:15]) + "  " + " ".join(w[52:60] + ["z"] * 20)
+
+
 def test_automaton_equals_brute_force():
     rnd = random.Random(4)
     for _ in range(30):

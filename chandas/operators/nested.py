@@ -2,7 +2,8 @@
 
 Two narrow passes. The first finds the merged schema: for every path the kinds of value met there, over all records.
 The second walks each record once more by that schema and turns every array level into rows of a child table: each
-row has a key of its own, its parent's key, and its place in the array. Optional and missing fields give null columns
+row has a key of its own, its parent's key, and its place in the array. Arrays directly inside arrays are levels like
+any other; the table of a's inner arrays is named a[]. Optional and missing fields give null columns
 or no child rows; where the schema knows a path as an array, a bare object stands for an array of one.
 """
 
@@ -100,16 +101,18 @@ class Schema:
             by.setdefault(r["path"], set()).add(r["kind"])
         self.maps = frozenset(maps)
         self.arrays = frozenset(p for p, k in by.items() if "array" in k)
-        flat = lambda p: p.replace("[]", "")
+        # an array directly inside an array keeps its marks: a[] is the table of the inner arrays' elements
+        flat = lambda p: p.replace("[].", ".")
         # a bare object's fields count as those of the array's elements
-        bare = {p for p in self.arrays if "object" in by[p]}
+        bare = sorted((p for p in self.arrays if "object" in by[p] or p.endswith("[]")), key=len)
 
         def lifted(p: str) -> str:
-            for a in sorted(bare, key=len):
+            for a in bare:
                 if p.startswith(a + "."):
                     p = a + "[]" + p[len(a) :]
             return p
 
+        self.lifted = frozenset(map(lifted, self.arrays))
         self.types: dict[str, str] = {}
         for p, kinds_ in by.items():
             plain = kinds_ - {"object", "array"}
@@ -118,8 +121,8 @@ class Schema:
         self.flat = flat
 
     def tables(self) -> list[str]:
-        """Paths that become child tables (arrays of anything, and maps), without the marks of arrays."""
-        return sorted({self.flat(p) for p in self.arrays} | set(self.maps))
+        """Paths that become child tables (arrays of anything, and maps), with marks only for arrays directly inside arrays."""
+        return sorted({self.flat(p) for p in self.lifted} | set(self.maps))
 
     def columns(self, node: str) -> dict[str, str]:
         """Plain fields of a table's rows, nested objects' fields with their path; '' is the root."""
@@ -147,30 +150,38 @@ def _walk(record_id, v, path: str, key: str, ordinals: str, schema: Schema, emit
                 for name, n in x.items():
                     emit(record_id, flat, f"{key}/{k}.{name}", key, None, name, None if fields is None else {"value": n})
         elif at in arrays or isinstance(x, list):
-            flat = schema.flat(at)
-            for i, e in enumerate(x if isinstance(x, list) else [x]):
-                if e is None:
-                    continue
-                o = f"{ordinals}.{i}" if ordinals else str(i)
-                own = f"{key}/{k}.{i}"
-                inner = None if fields is None else {}
-                if isinstance(e, dict):
-                    _walk(record_id, e, at + "[]", own, o, schema, emit, inner, "")
-                elif inner is not None:
-                    inner["value"] = e
-                emit(record_id, flat, own, key, i, o, inner)
+            _elements(record_id, x, at, f"{key}/{k}", key, ordinals, schema, emit, fields is not None)
         elif isinstance(x, dict):
             _walk(record_id, x, at, key, ordinals, schema, emit, fields, f"{prefix}{k}.")
         elif fields is not None:
             fields[prefix + k] = x
 
 
+def _elements(record_id, x, at: str, stem: str, parent: str, ordinals: str, schema: Schema, emit, wanted: bool) -> None:
+    """Emits a row for each element of the array x at a path; an element that is an array is a further level with its own rows."""
+    flat, below = schema.flat(at), at + "[]"
+    nested = below in schema.arrays
+    for i, e in enumerate(x if isinstance(x, list) else [x]):
+        if e is None:
+            continue
+        o = f"{ordinals}.{i}" if ordinals else str(i)
+        own = f"{stem}.{i}"
+        inner = {} if wanted else None
+        if isinstance(e, list) or (nested and isinstance(e, dict)):
+            _elements(record_id, e, below, own, own, o, schema, emit, wanted)
+        elif isinstance(e, dict):
+            _walk(record_id, e, below, own, o, schema, emit, inner, "")
+        elif inner is not None:
+            inner["value"] = e
+        emit(record_id, flat, own, parent, i, o, inner)
+
+
 class _Lenient(Schema):
     """Paths inside a bare object are looked up as those of the array's elements."""
 
     def __init__(self, base: Schema):
         self.maps, self.flat = base.maps, base.flat
-        self.arrays = frozenset(base.arrays) | {p.replace("[]", "") for p in base.arrays} | _marked(base.arrays)
+        self.arrays = frozenset(base.arrays) | base.lifted | {p.replace("[]", "") for p in base.arrays} | _marked(base.arrays)
 
 
 def _marked(arrays: frozenset) -> set[str]:

@@ -40,3 +40,20 @@ def test_repeats_stay(spark):
     r = frame(spark, [(1, '{"w": [{}]}'), (1, '{"w": [{}]}')])
     schema = nested.Schema(nested.infer(r))
     assert nested.explode_all(r, schema, ["w"], keys_only=True).count() == 2
+
+
+def test_arrays_in_arrays(spark):
+    rows = [
+        (1, json.dumps({"a": [[1, 2], [], [3, None, [4]]], "g": [[{"x": 5, "t": [{"y": "u"}]}], [{"x": 6}, {"x": 7}]]})),
+        (2, json.dumps({"a": [8, [9]], "g": [{"x": 10, "t": {"y": "v"}}]})), (3, json.dumps({"g": {"x": 11}})),
+    ]
+    out = nested.flatten(frame(spark, rows))
+    assert set(out) == {"", "a", "a[]", "a[][]", "g", "g[]", "g[].t"}
+    got = lambda node, c: sorted((r.record_id, r.ordinals, r.ordinal, r[c]) for r in out[node].collect() if r[c] is not None)
+    assert got("a[]", "value") == [(1, "0.0", 0, 1), (1, "0.1", 1, 2), (1, "2.0", 0, 3), (2, "1.0", 0, 9)]
+    assert got("a[][]", "value") == [(1, "2.2.0", 0, 4)] and got("a", "value") == [(2, "0", 0, 8)] and out["a"].count() == 5
+    assert got("g[]", "x") == [(1, "0.0", 0, 5), (1, "1.0", 0, 6), (1, "1.1", 1, 7), (2, "0.0", 0, 10), (3, "0.0", 0, 11)]
+    assert got("g[].t", "y") == [(1, "0.0.0", 0, "u"), (2, "0.0.0", 0, "v")]
+    for child, parent in (("a[]", "a"), ("a[][]", "a[]"), ("g[]", "g"), ("g[].t", "g[]")):
+        keys = [(r.record_id, r.row_key) for r in out[parent].collect()]
+        assert len(keys) == len(set(keys)) and {(r.record_id, r.parent_key) for r in out[child].collect()} <= set(keys)

@@ -33,7 +33,7 @@ SEQUENCES = {
 VISARGA = ":꞉：∶ː"
 
 #: Ordinary characters, for a first look on the JVM side: only the rest goes on to the mapping.
-_PLAIN = r"^[a-zA-ZāīūṛṝḷḹṅñṭḍṇśṣḥṃṁḻĀĪŪṚṬḌṆŚṢ’ |\x{30D}\x{331}\x{900}-\x{93B}\x{93D}-\x{957}\x{960}-\x{97F}]*$"
+_PLAIN = r"^[a-zA-ZāīūṛṝḷḹṅñṭḍṇśṣḥṃṁḻĀĪŪṚṬḌṆŚṢ’ |\x{30D}\x{331}\x{900}-\x{93B}\x{93D}-\x{957}\x{960}-\x{97F}]*\z"
 _ODD_RUN = "|".join(SEQUENCES) + r"|[a-zA-Z]\x{331}(?<![aeiou]\x{331})|[\x{30D}\x{331}\x{951}\x{952}]{2}"
 
 

@@ -57,6 +57,14 @@ def test_lookalikes(spark):
     assert lookalike.canonical(df.limit(0)).count() == 0
 
 
+def test_lookalikes_at_the_end(spark):
+    ends = ["\n", "\r", "\r\n", "\u0085", "\u2028", "\u2029"]
+    df = spark.createDataFrame([("iast", i, "agnim" + e) for i, e in enumerate(ends)] + [("iast", 10, "agnim"), ("iast", 11, "agnim ")], "field_name string, row_id long, value string")
+    got = {r.row_id: r for r in lookalike.canonical(df).collect()}
+    assert {i for i, r in got.items() if r.odd and r.value != r.canonical} == set(range(len(ends)))
+    assert got[0].canonical == "agnim "
+
+
 def brute(rows, length):
     holders = {}
     for i, f, t in rows:

@@ -79,11 +79,16 @@ def line_records(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "verses").select(F.col("verse_id").alias("id"), F.expr("stack(2, 'dev', dev, 'iast', iast) as (field, text)"))
 
 
-def p3_found(spark: SparkSession, sf: str) -> DataFrame:
-    got = spans.shared_spans(line_records(spark, sf))
+def p3_found(spark: SparkSession, sf: str, batches: int = 2) -> DataFrame:
+    got = spans.shared_spans(line_records(spark, sf), batches=batches)
     return got.select(F.col("field").alias("field_name"), F.col("id").alias("verse_id"), "span_from", "span_to").distinct()
 
 
+def p3_compacted(spark: SparkSession, sf: str) -> DataFrame:
+    """p3_found's rows from so many batches that runs are compacted, and the last batch is joined with a compacted run."""
+    return p3_found(spark, sf, spans.FANOUT + 2)
+
+
 def p3_coverage(spark: SparkSession, sf: str) -> DataFrame:
     records = line_records(spark, sf)
     return spans.coverage(records, spans.shared_spans(records))
@@ -197,7 +202,7 @@ def p8_segments(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        p1_found, p1_knn, p1_embeddings, p2_found, p2_canonical, p3_found, p3_coverage, p4_found, p4_counts, p4_word_ngrams,
+        p1_found, p1_knn, p1_embeddings, p2_found, p2_canonical, p3_found, p3_compacted, p3_coverage, p4_found, p4_counts, p4_word_ngrams,
         p6_found, p6_report, p6_clean, p7_found, p7_report, p7_plan, p8_found, p8_labels, p8_segments,
     )
 }

@@ -108,3 +108,15 @@ def test_span_index_grows_and_compacts(spark):
     assert len(index.runs) <= spans.FANOUT
     assert {tuple(r) for r in index.verify(df, shared).select("field", "id", "span_from", "span_to").collect()} == brute(rows, 60)
     index.drop()
+
+
+def test_compacted_query(spark, tmp_path, monkeypatch):
+    from chandas.llm import queries
+
+    rnd = random.Random(6)
+    rows = [(i, "".join(rnd.choice("abcdef") for _ in range(40)) + "shared passage of more than sixty code points, held by every other row" * (i % 2), None) for i in range(60)]
+    spark.createDataFrame(rows, "verse_id long, dev string, iast string").write.parquet(f"{tmp_path}/verses.parquet")
+    merged, plain = [], spans.SpanIndex.compact
+    monkeypatch.setattr(spans.SpanIndex, "compact", lambda self: (merged.append(len(self.runs)), plain(self)))
+    got = {tuple(r) for r in queries.QUERIES["p3_compacted"](spark, str(tmp_path)).collect()}
+    assert merged == [spans.FANOUT + 1] and got == brute([(i, "dev", d) for i, d, _ in rows], 60)

@@ -86,8 +86,13 @@ def _cluster(unit_text: Column) -> Column:
     return F.coalesce(F.array_max(F.transform(runs, F.length)), F.lit(0))
 
 
+def cluster_length(mode: str = "reference") -> Column:
+    """Longest cluster of a word frame's row."""
+    return _cluster(F.col("text" if mode == "reference" else "roman"))
+
+
 def word_frame(verses: DataFrame, keys: list[str], aligned: bool = True) -> DataFrame:
-    """Words with text, surface (spelling searched beside the text), roman and iast_word. aligned=False leaves out the alignment."""
+    """Words with text, surface (spelling searched beside the text), roman and iast_word. aligned=False leaves out the alignment, for kinds that test the text alone."""
     if aligned:
         w = align.aligned_words(verses, keys)
         surface = F.coalesce(F.nullif("underlying_dev_text", F.lit("")), "text")
@@ -106,11 +111,10 @@ def predicate(r: Request, mode: str = "reference") -> Column:
         return _any(lambda c: test(c, r.value), *places)
     if r.kind == "regex":
         if mode == "corrected":
-            return _any(lambda c: c.rlike("(?d)" + r.value), *places)
-        pattern = "(?d)" + r.value.encode("utf-8").decode("latin-1")  # byte 0x85 is no line end here
-        return _any(lambda c: text.bytes_view(c).rlike(pattern), *places)
+            return _any(lambda c: c.rlike(_pattern(r, mode)), *places)
+        return _any(lambda c: text.bytes_view(c).rlike(_pattern(r, mode)), *places)
     if r.kind == "cluster":
-        return _cluster(F.col("text" if mode == "reference" else "roman")) >= r.number
+        return cluster_length(mode) >= r.number
     letters = P.dev_values(F.col("text"))
     if r.kind == "class":
         wanted = F.lit(_fold(r.value))
@@ -126,15 +130,44 @@ def _any(test, *columns: str) -> Column:
     return out
 
 
-def search(verses: DataFrame, request: Request, keys: list[str], mode: str = "reference", aligned: bool = True) -> DataFrame:
-    """Matches: keys, word_ord (null for verse matches), dev_word, iast_word. Narrow: no shuffle.
+# What is said of a match of each kind; of a cluster its length.
+DETAILS = {
+    "verse": "matched verse text", "word": "matched word text", "prefix": "matched prefix", "suffix": "matched suffix", "regex": "matched regex pattern", "class": "matched phoneme class",
+    "manner": "matched manner of articulation",
+}
+BAD_PATTERN = "The regex pattern could not be compiled. Use a valid ECMAScript regex such as śr[aā]ddh."
+
+
+def bad_pattern(verses: DataFrame, request: Request, mode: str = "reference") -> str | None:
+    """What is said of a regular expression that can't be compiled; None for all other requests. Nothing is evaluated."""
+    if request.kind != "regex":
+        return None
+    try:
+        verses.sparkSession._jvm.java.util.regex.Pattern.compile(_pattern(request, mode))
+    except Exception:  # py4j's error class differs between versions
+        return BAD_PATTERN
+    return None
+
+
+def _pattern(r: Request, mode: str) -> str:
+    return "(?d)" + (r.value if mode == "corrected" else r.value.encode("utf-8").decode("latin-1"))  # byte 0x85 is no line end here
+
+
+def search(verses: DataFrame, request: Request, keys: list[str], mode: str = "reference") -> DataFrame:
+    """Matches: keys, word_ord (null for verse matches), dev_word, iast_word, verse_dev, verse_iast, detail. Narrow: no shuffle.
 
-    verses: keys, dev, iast, eng. Null lines match nothing. An invalid regular expression fails when rows are evaluated.
+    verses: keys, dev, iast, eng; any label wanted in the result is passed as a key. Null lines match nothing. dev_word
+    is the surface: the aligned Roman words in Devanagari, or else the text. Words are aligned for every kind, since
+    the result shows the surface. A regular expression that can't be compiled matches nothing: see bad_pattern.
     """
+    lines = [F.col("dev").alias("verse_dev"), F.col("iast").alias("verse_iast")]
     if request.kind == "verse":
-        return verses.filter(predicate(request, mode)).select(*keys, F.lit(None).cast("int").alias("word_ord"), F.lit("").alias("dev_word"), F.lit("").alias("iast_word"))
-    w = word_frame(verses, keys, aligned).filter(predicate(request, mode))
-    return w.select(*keys, "word_ord", F.col("text").alias("dev_word"), F.coalesce("iast_word", "text").alias("iast_word"))
+        found = verses.filter(predicate(request, mode))
+        return found.select(*keys, F.lit(None).cast("int").alias("word_ord"), F.lit("").alias("dev_word"), F.lit("").alias("iast_word"), *lines, F.lit(DETAILS["verse"]).alias("detail"))
+    w = word_frame(verses.select("*", *lines), [*keys, "verse_dev", "verse_iast"])
+    w = w.filter(F.lit(False) if bad_pattern(verses, request, mode) else predicate(request, mode))
+    detail = F.concat(F.lit("cluster length "), cluster_length(mode).cast("string")) if request.kind == "cluster" else F.lit(DETAILS[request.kind])
+    return w.select(*keys, "word_ord", F.col("surface").alias("dev_word"), F.coalesce("iast_word", "text").alias("iast_word"), "verse_dev", "verse_iast", detail.alias("detail"))
 
 
 def coverage(hymns: DataFrame, verses: DataFrame, matches: DataFrame) -> DataFrame:
@@ -147,12 +180,11 @@ def coverage(hymns: DataFrame, verses: DataFrame, matches: DataFrame) -> DataFra
 
 
 def describe(r: Request) -> str:
-    """Heading of a request's results."""
-    name = {
-        "word": "words containing", "verse": "verses containing", "prefix": "words beginning with", "suffix": "words ending with", "regex": "pattern",
-        "class": "phoneme class", "manner": "manner of articulation", "cluster": "consonant clusters of length >=",
-    }[r.kind]
-    return f"{name} {r.number if r.kind == 'cluster' else repr(r.value)}"
+    """What a request searches, as headings say it (fixed wording)."""
+    named = {
+        "verse": "verse text contains", "word": "word contains", "prefix": "word begins with", "suffix": "word ends with", "regex": "vowel/span regex", "class": "phoneme class", "manner": "manner",
+    }
+    return f"consonant cluster length >= {r.number}" if r.kind == "cluster" else f'{named[r.kind]} "{r.value}"'
 
 
 def syllable_total(verses: DataFrame, keys: list[str]) -> DataFrame:

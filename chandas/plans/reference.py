@@ -9,9 +9,11 @@ from pyspark.sql import functions as F
 from chandas.common import latest, table
 from chandas.functions import meter, syllables, text, translit
 from chandas.functions import phonology as P
-from chandas.operators import align, compare, frequency, nesting, search, similarity
+from chandas.operators import align, compare, frequency, nesting, report, search, similarity
 from chandas.sources import tagged
 
+from . import fold_sql
+
 COLUMNS = ["hymn_index", "verse_ord", "verse_number", "dev", "iast", "eng"]
 KEYS = ["hymn_index", "verse_ord", "verse_number"]
 
@@ -143,37 +145,43 @@ def phoneme_features(spark, sf):
 
 
 # search ----------------------------------------------------------------------------------------------------------------
-def _search(name: str, request: str, where: str | None, mode: str = "reference", aligned: bool = True) -> None:
-    """aligned=False: the words' text alone, without the aligned Roman words, which is all the SQL beside it tests."""
+def labelled(spark: SparkSession, sf: str) -> DataFrame:
+    """Verses with the export name of their hymn; verses without a hymn row keep a null one."""
+    return verses(spark, sf).join(hymns(spark, sf).select("hymn_index", "export_base"), "hymn_index", "left")
+
+
+FOUND = ["hymn_index", "export_base", "verse_ord", "verse_number"]
 
+
+def _search(name: str, request: str, where: str, detail: str = "", mode: str = "reference") -> None:
     def run(spark, sf):
-        return search.search(verses(spark, sf), search.parse(request), KEYS, mode, aligned)
+        return search.search(labelled(spark, sf), search.parse(request), FOUND, mode)
 
     QUERIES[name] = run
-    if where:
-        SQL[name] = f"WITH {_INDEXED} SELECT hymn_index, verse_ord, verse_number, n::INT AS word_ord, word AS dev_word, coalesce(i[n + 1], word) AS iast_word FROM w WHERE {where}"
-
-
-_search("search_words_containing", "find all occurrences of 'स्म'", "contains(word, 'स्म')", aligned=False)
-_search("search_words_prefix", "find words beginning with प्र", "starts_with(word, 'प्र')", aligned=False)
-_search("search_words_suffix", "find words ending with न्ति", "ends_with(word, 'न्ति')", aligned=False)
-_search("search_words_regex", "find vowel span patterns स्[तथ]", "regexp_matches(word, 'स्[तथ]')", "corrected", aligned=False)
-_search("search_words_regex_bytes", "find vowel span patterns स्त.*न", "regexp_matches(word, 'स्त(?s:.)*न')", aligned=False)
-_search("search_phoneme_class", "phoneme class Aspirate", "regexp_matches(word, '[हःhḥ]')", aligned=False)
-_search("search_manner", "manner of articulation nasals", "regexp_matches(word, '[ङञणनमंँṅñṇnmṃṁ]')", aligned=False)
-_search("search_cluster_length", "find consonant clusters of length >= 12", "list_max(list_transform(regexp_split_to_array(word, 'ai|au|[aāiīuūṛṝḷeo।॥|]'), lambda x: length(x))) >= 12", aligned=False)
-# the same five requests in full; no SQL, since the alignment is a fold
-_search("search_words_containing_aligned", "find all occurrences of 'स्म'", None)
-_search("search_words_aligned", "find words beginning with प्र", None)
-_search("search_words_suffix_aligned", "find words ending with न्ति", None)
-_search("search_words_regex_aligned", "find vowel span patterns स्[तथ]", None, "corrected")
-_search("search_words_regex_bytes_aligned", "find vowel span patterns स्त.*न", None)
-_search("search_roman_words", "find words containing kṣ", None, "corrected")
-
-
-@query(f"WITH {V} SELECT hymn_index, verse_ord, verse_number, NULL::INT AS word_ord, '' AS dev_word, '' AS iast_word FROM v WHERE contains(lower(dev), 'river') OR contains(lower(iast), 'river') OR contains(lower(eng), 'river')")
+    SQL[name] = fold_sql.search(where, detail)
+
+
+_search("search_words_containing", "find all occurrences of 'स्म'", "contains(surface, 'स्म') OR contains(text, 'स्म')", "'matched word text'")
+_search("search_words_prefix", "find words beginning with प्र", "starts_with(surface, 'प्र') OR starts_with(text, 'प्र')", "'matched prefix'")
+_search("search_words_suffix", "find words ending with न्ति", "ends_with(surface, 'न्ति') OR ends_with(text, 'न्ति')", "'matched suffix'")
+_search("search_words_regex", "find vowel span patterns स्[तथ]", "regexp_matches(surface, 'स्[तथ]') OR regexp_matches(text, 'स्[तथ]') OR regexp_matches(roman, 'स्[तथ]')", "'matched regex pattern'", "corrected")
+_search("search_words_regex_bytes", "find vowel span patterns स्त.*न", "regexp_matches(surface, 'स्त(?s:.)*न') OR regexp_matches(text, 'स्त(?s:.)*न')", "'matched regex pattern'")
+_search("search_bad_regex", "find vowel span patterns स्[तथ", "false", "'matched regex pattern'")
+_search("search_phoneme_class", "phoneme class Aspirate", "regexp_matches(text, '[हःhḥ]')", "'matched phoneme class'")
+_search("search_manner", "manner of articulation nasals", "regexp_matches(text, '[ङञणनमंँṅñṇnmṃṁ]')", "'matched manner of articulation'")
+_LONGEST = "list_max(list_transform(regexp_split_to_array(text, 'ai|au|[aāiīuūṛṝḷeo।॥|]'), lambda x: length(x)))"
+_search("search_cluster_length", "find consonant clusters of length >= 12", f"{_LONGEST} >= 12", f"'cluster length ' || {_LONGEST}")
+_search("search_words_bare_text", "  'गच्छ'  ", "contains(surface, 'गच्छ') OR contains(text, 'गच्छ')", "'matched word text'")
+_search("search_words_find_containing", "Find words containing `व्य`", "contains(surface, 'व्य') OR contains(text, 'व्य')", "'matched word text'")
+_search("search_roman_words", "find words containing kṣ", "contains(surface, 'kṣ') OR contains(text, 'kṣ') OR contains(lower(roman), 'kṣ')", "'matched word text'", "corrected")
+
+
+@query(
+    f"WITH {V}, h AS (SELECT hymn_index, arg_max(export_base, loaded_at) AS export_base FROM hymns WHERE hymn_index IS NOT NULL GROUP BY 1) SELECT hymn_index, export_base, verse_ord, verse_number, NULL::INT AS word_ord, '' AS dev_word, '' AS iast_word, dev AS verse_dev, iast AS verse_iast, 'matched verse text' AS detail "
+    "FROM v LEFT JOIN h USING (hymn_index) WHERE contains(lower(dev), 'river') OR contains(lower(iast), 'river') OR contains(lower(eng), 'river')"
+)
 def search_verses_containing(spark, sf):
-    return search.search(verses(spark, sf), search.parse("find all verses containing RIVER"), KEYS)
+    return search.search(labelled(spark, sf), search.parse("find all verses containing RIVER"), FOUND)
 
 
 @query(
@@ -183,8 +191,7 @@ def search_verses_containing(spark, sf):
 )
 def query_coverage(spark, sf):
     v = verses(spark, sf)
-    found = search.search(v, search.parse("phoneme class aspirate"), KEYS, aligned=False)
-    return search.coverage(hymns(spark, sf), v, found)
+    return search.coverage(hymns(spark, sf), v, search.search(v, search.parse("phoneme class aspirate"), KEYS))
 
 
 # prosody ---------------------------------------------------------------------------------------------------------------
@@ -205,35 +212,25 @@ def iast_pada_counts(spark, sf):
     return v.select("hymn_index", "verse_ord", meter.format_counts(meter.iast_counts(F.col("iast"))).alias("counts"))
 
 
-def _one_of(counts: str) -> str:
-    rules = " ".join(f"WHEN {counts} = {p} THEN '{n}'" for n, p in meter.PATTERNS.items())
-    within = lambda *n: f"list_sum(list_transform({counts}, lambda x: CASE WHEN x IN {n} THEN 1 ELSE 0 END)) = len({counts})"
-    return (
-        f"CASE {rules} WHEN len({counts}) = 4 AND {within(10, 11)} AND list_contains({counts}, 10) THEN 'Nicrd Tristubh' "
-        f"WHEN len({counts}) = 4 AND {within(11, 12)} AND list_contains({counts}, 11) AND list_contains({counts}, 12) THEN 'Tristubh-Jagati Mixed' "
-        f"WHEN len({counts}) = 3 AND {within(7, 8)} AND list_contains({counts}, 7) THEN 'Nicrd Gayatri' WHEN len({counts}) = 4 AND {within(7, 8)} AND list_contains({counts}, 7) THEN 'Nicrd Anustubh' ELSE '{meter.NONE}' END"
-    )
-
-
-@query(f"WITH {V} SELECT hymn_index, verse_ord, {_one_of('pada_counts')} AS meter FROM v WHERE pada_counts IS NOT NULL")
+@query(fold_sql.METER_OF_COUNTS)
 def meter_of_counts(spark, sf):
     v = verses(spark, sf).filter("pada_counts is not null")
     return v.select("hymn_index", "verse_ord", meter.detect(F.col("pada_counts")).alias("meter"))
 
 
-@query()
+@query(fold_sql.VERSE_METERS)
 def verse_meters(spark, sf):
-    """Counts and meters of all verses from their lines, inference included (no SQL: states of a search)."""
+    """Counts and meters of all verses from their lines, inference included."""
     v = verses(spark, sf).select("hymn_index", "verse_ord", meter.pada_counts(F.col("dev"), F.col("iast")).alias("c"))
     return v.select("hymn_index", "verse_ord", meter.format_counts(F.col("c")).alias("counts"), meter.detect(F.col("c")).alias("meter"))
 
 
-@query()
+@query(fold_sql.DEV_SYLLABLE_WEIGHTS)
 def dev_syllable_weights(spark, sf):
     return verses(spark, sf).select("hymn_index", "verse_ord", F.array_join(syllables.line_weights(text.words("dev")), " ").alias("weights"))
 
 
-@query()
+@query(fold_sql.DEV_SYLLABLES)
 def dev_syllables(spark, sf):
     w = verses(spark, sf).select("hymn_index", "verse_ord", F.posexplode(text.words("dev")).alias("word_ord", "word"))
     s = w.select("hymn_index", "verse_ord", "word_ord", F.posexplode_outer(syllables.dev_syllables(F.col("word"))).alias("syllable_ord", "s")).filter("s is not null")
@@ -241,34 +238,43 @@ def dev_syllables(spark, sf):
     return s.select("hymn_index", "verse_ord", "word_ord", "syllable_ord", spell("s.onset").alias("onset"), F.col("s.nucleus.value").alias("nucleus"), spell("s.coda").alias("coda"), "s.weight")
 
 
+@query(fold_sql.IAST_SYLLABLES)
+def iast_syllables(spark, sf):
+    w = verses(spark, sf).select("hymn_index", "verse_ord", F.posexplode(text.words("iast")).alias("word_ord", "word"))
+    s = w.select("hymn_index", "verse_ord", "word_ord", F.posexplode_outer(syllables.iast_syllables(F.col("word"))).alias("syllable_ord", "s")).filter("s is not null")
+    return s.select("hymn_index", "verse_ord", "word_ord", "syllable_ord", F.array_join("s.onset", "").alias("onset"), "s.nucleus", F.array_join("s.coda", "").alias("coda"), "s.weight")
+
+
+@query(fold_sql.VERSE_REPORT)
+def verse_report(spark, sf):
+    """The detail report's lines of verses: pada counts, meter and syllables of both scripts."""
+    return report.verse_lines(verses(spark, sf).drop("meter"))
+
+
+@query(fold_sql.SYLLABLE_PAIRS)
+def syllable_pairs(spark, sf):
+    """The detail report's syllables of both scripts side by side."""
+    return report.syllable_pairs(verses(spark, sf), ["hymn_index", "verse_ord"])
+
+
 # alignment and boundaries ----------------------------------------------------------------------------------------------
-@query()
+@query(fold_sql.TRANSLITERATE)
 def transliterate(spark, sf):
     w = verses(spark, sf).select(F.explode(text.words("iast")).alias("word")).distinct()
     return w.select("word", translit.to_dev(F.col("word")).alias("dev"))
 
 
-@query()
+@query(fold_sql.ALIGN_SPANS)
 def align_spans(spark, sf):
     return align.aligned_words(verses(spark, sf), ["hymn_index", "verse_ord"])
 
 
-@query()
+@query(fold_sql.SANDHI_BOUNDARIES)
 def sandhi_boundaries(spark, sf):
     return align.boundaries(verses(spark, sf), ["hymn_index", "verse_ord"])
 
 
-_LAST = r"list_filter(regexp_extract_all({c}, '(?s)([kgcjtdpb]h|ai|au|.)'), lambda u: u NOT IN ('॒', '̱', '॑', '̍', '।', '॥', '|', '''', '’'))"
-_VOWELS = "('" + "', '".join(align.VOWELS) + "')"
-_FAMILY = "CASE {u} " + " ".join(f"WHEN '{x}' THEN {i}" for i, f in enumerate(align.FAMILIES) for x in f.split()) + " ELSE -1 END"
-
-
-@query(
-    f"WITH p AS (SELECT boundary_id, coalesce({_LAST.format(c='left_underlying_iast')}[-1], '') AS a, coalesce({_LAST.format(c='right_underlying_iast')}[1], '') AS b FROM sandhi WHERE boundary_id IS NOT NULL AND left_underlying_iast IS NOT NULL AND right_underlying_iast IS NOT NULL) "
-    f"SELECT DISTINCT boundary_id, CASE WHEN a = 'ḥ' THEN 'external visarga' WHEN a IN {_VOWELS} AND b IN {_VOWELS} AND {_FAMILY.format(u='a')} >= 0 AND {_FAMILY.format(u='a')} = {_FAMILY.format(u='b')} THEN 'savarna dirgha' "
-    f"WHEN a IN {_VOWELS} AND b IN {_VOWELS} AND a IN {tuple(align.SHIFTING)} THEN 'external glide formation' WHEN a IN {_VOWELS} AND b IN {_VOWELS} THEN 'heterogeneous vowel contact' "
-    f"WHEN a <> '' AND b <> '' AND a NOT IN {_VOWELS} AND b NOT IN {_VOWELS} THEN 'external consonant contact' ELSE 'boundary assimilation' END AS subtype FROM p"
-)
+@query(fold_sql.BOUNDARY_CLASS)
 def boundary_class(spark, sf):
     """Classes of the given boundaries from their two words."""
     s = table(spark, sf, "sandhi").filter("boundary_id is not null and left_underlying_iast is not null and right_underlying_iast is not null")
@@ -324,29 +330,30 @@ def verse_similarity_meter(spark, sf):
     return p.select("hymn_index", "verse_id_a", "verse_id_b", *[F.round(f"meter_{s}", 6).alias(f"meter_{s}") for s in ("dot_product", "cosine_similarity", "confidence")])
 
 
-@query()
+def _scores6(df: DataFrame, keys: list[str]) -> DataFrame:
+    return df.select(*keys, *[F.round(f"{k}_{s}", 6).alias(f"{k}_{s}") for k in compare.KINDS for s in similarity.SCORES])
+
+
+@query(fold_sql.VERSE_SIMILARITY)
 def verse_similarity_export(spark, sf):
-    return compare.verse_pairs(verses(spark, sf))
+    return _scores6(compare.verse_pairs(verses(spark, sf)), ["hymn_index", "verse_ord_a", "verse_ord_b", "verse_number_a", "verse_number_b"])
 
 
-SELECTED = [1, 2, 3, 5, 8]
+REFERENCES = [(1, 2), (1, 3), (2, 2), (3, 4)]
 
 
-@query(_pair_sql(
-    f"{L}, {CLASSES}", f"SELECT DISTINCT 0 AS g, hymn_index AS o FROM v WHERE hymn_index IN {tuple(SELECTED)}", "phoneme",
-    f"SELECT 0 AS g, hymn_index AS o, class AS key, count(*) AS value FROM l JOIN classes USING (letter) WHERE hymn_index IN {tuple(SELECTED)} GROUP BY 1, 2, 3",
-).replace("g AS hymn_index, oa AS verse_ord_a, ob AS verse_ord_b", "oa AS hymn_index_a, ob AS hymn_index_b"))
+@query(fold_sql.COMPARE_HYMNS)
 def compare_hymns(spark, sf):
-    """Hymns picked by the user (the references are the operator's input)."""
-    p = compare.compare_hymns(verses(spark, sf), SELECTED)
-    return p.select("hymn_index_a", "hymn_index_b", *[F.round(f"phoneme_{s}", 6).alias(f"phoneme_{s}") for s in ("dot_product", "cosine_similarity", "confidence")])
+    """The hymns that have probes: a selection that grows with the tables (the references are the operator's input)."""
+    probes = table(spark, sf, "knn_probes").select(F.floor(F.col("verse_id") / 1000).cast("int").alias("hymn_index")).distinct()
+    p = compare.compare_hymns(verses(spark, sf).join(probes, "hymn_index", "left_semi"))
+    return _scores6(p, ["hymn_index_a", "hymn_index_b", "verses_a", "verses_b"])
 
 
-@query()
+@query(fold_sql.compare_verses(REFERENCES))
 def compare_verses(spark, sf):
-    v = verses(spark, sf)
-    refs = [(1, 2), (1, 3), (2, 2), (3, 4)]
-    return compare.compare_verses(compare.resolve_verses(hymns(spark, sf), v, refs))
+    """Four references as a user would type them."""
+    return _scores6(compare.compare_verses(compare.resolve_verses(hymns(spark, sf), verses(spark, sf), REFERENCES)), ["sel_ord_a", "sel_ord_b"])
 
 
 _D = "list_transform(embedding, lambda x: x::DOUBLE)"
@@ -393,18 +400,18 @@ def parsed_verse_counts(spark, sf):
     return v.groupBy("doc_id").agg(F.count(F.lit(1)).alias("verses"), F.sum("verse_number").alias("numbers"))
 
 
-@query()
+@query(fold_sql.PARSED_VERSES)
 def parsed_verses(spark, sf):
     return tagged.verses(tagged.lines(_files(spark, sf), "doc_id"), "doc_id")
 
 
-@query()
+@query(fold_sql.PARSED_HYMNS)
 def parsed_hymns(spark, sf):
     h = tagged.hymns(tagged.lines(_files(spark, sf), "doc_id"), "doc_id")
     return h.select("doc_id", "mandala", "sukta", *[F.array_join(c, "|").alias(c) for c in ("rishis", "devatas", "categories")])
 
 
-@query()
+@query(fold_sql.LETTER_TABLE)
 def letter_table(spark, sf):
     """The full export of all hymns."""
     return nesting.letter_rows(hymns(spark, sf), verses(spark, sf))

@@ -121,7 +121,7 @@ class Session:
         refs = [p.strip() for p in indexes.split(",") if p.strip()]
         if len(refs) < 2 or not all(re.fullmatch("[0-9]+", r) and 1 <= int(r) <= len(self.loaded) for r in refs):
             return "Select at least two loaded hymns."
-        return compare.compare_hymns(self.verses(), [int(r) for r in refs])
+        return compare.compare_hymns(self.verses().filter(F.col("hymn_index").isin(*map(int, refs))))
 
     def tables(self) -> dict[str, DataFrame]:
         """The export tables of all loaded hymns; every table has hymn_index for a partitioned write."""

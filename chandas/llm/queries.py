@@ -95,17 +95,23 @@ def p3_coverage(spark: SparkSession, sf: str) -> DataFrame:
 
 
 # p4 ------------------------------------------------------------------------------------------------------------------
+#: Characters that any text of them alone is in NFC.
+_COMPOSED = r"^[\x{0}-\x{2FF}\x{904}-\x{928}\x{92A}-\x{930}\x{932}\x{933}\x{935}-\x{939}\x{93D}-\x{94C}\x{964}-\x{971}\x{1E00}-\x{1EFF}]*\z"
+
+
 def _nfc(c):
-    return F.pandas_udf(lambda s: s.map({x: unicodedata.normalize("NFC", x) for x in s.dropna().unique()}), "string")(c)
+    """NFC; only values that a look on the JVM side can't tell to be in it already are sent to Python."""
+    send = F.when(~c.rlike(_COMPOSED), c)
+    return F.coalesce(F.pandas_udf(lambda s: s.map({x: unicodedata.normalize("NFC", x) for x in s.dropna().unique()}), "string")(send), c)
 
 
 def analysis_current(spark: SparkSession, sf: str) -> DataFrame:
     """export_base, type, key, value: the current rows, with the standard spelling of type and key."""
     kind = F.lower(blank_trim(F.col("feat_type")))
     t = table(spark, sf, "analysis").select(
-        "export_base", "feat_value", "exported_at", "received_at", _nfc(blank_trim(F.col("feat_key"))).alias("key"),
+        "export_base", "feat_value", "exported_at", "received_at", blank_trim(F.col("feat_key")).alias("key"),
         F.when(kind == "letter", "Letter").when(kind == "swara", "Swara").when(kind == "phonemeclass", "PhonemeClass").alias("type"),
-    ).filter("export_base is not null and type is not null and key is not null")
+    ).filter("export_base is not null and type is not null and key is not null").withColumn("key", _nfc(F.col("key")))
     return latest(t, ["export_base", "type", "key"], ["exported_at", "received_at"], ["feat_value"]).withColumnRenamed("feat_value", "value")
 
 
@@ -116,16 +122,20 @@ def _letters(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def term_records(spark: SparkSession, sf: str) -> DataFrame:
-    """term_set, record, terms (one), weight for the three term sets; only counts above 0 occur."""
-    letters = _letters(spark, sf).select(F.col("verse_id").alias("record"), F.explode("entries").alias("e")).filter("e.v > 0")
+    """term_set, record, terms, weights for the three term sets, each term of a record by itself; only counts above 0 occur."""
+    some = _letters(spark, sf).select(F.col("verse_id").alias("record"), F.filter("entries", lambda e: e["v"] > 0).alias("e"))
+    one = some.select(F.lit("letter").alias("term_set"), "record", F.col("e.k").alias("terms"), F.col("e.v").cast("array<bigint>").alias("weights"))
     now = analysis_current(spark, sf).filter("value > 0").select(F.xxhash64("export_base").alias("record"), "type", "key", "value")
     pairs = F.array(
-        F.struct(F.lit("key").alias("term_set"), F.concat_ws(":", "type", "key").alias("term"), F.col("value").alias("weight")),
-        F.struct(F.lit("value").alias("term_set"), F.col("value").cast("string").alias("term"), F.lit(1).cast("long").alias("weight")),
+        F.struct(F.lit("key").alias("term_set"), F.array(F.concat_ws(":", "type", "key")).alias("terms"), F.array("value").alias("weights")),
+        F.struct(F.lit("value").alias("term_set"), F.array(F.col("value").cast("string")).alias("terms"), F.array(F.lit(1).cast("long")).alias("weights")),
     )
-    flat = now.select("record", F.inline(pairs))
-    one = letters.select(F.lit("letter").alias("term_set"), "record", F.col("e.k").alias("term"), F.col("e.v").cast("long").alias("weight"))
-    return one.unionByName(flat).select("term_set", "record", F.array("term").alias("terms"), "weight")
+    return one.unionByName(now.select("record", F.inline(pairs)))
+
+
+def most_records(spark: SparkSession, sf: str) -> int:
+    """A bound on the records of any term set: the rows of the larger table (from the files' footers)."""
+    return max(table(spark, sf, "verse_analysis").count(), table(spark, sf, "analysis").count())
 
 
 def term_totals(spark: SparkSession, sf: str) -> DataFrame:
@@ -135,7 +145,7 @@ def term_totals(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p4_counts(spark: SparkSession, sf: str) -> DataFrame:
-    counts = terms.ngram_counts(term_records(spark, sf), 1).select("term_set", F.col("ngram")[0].alias("term"), "cf", "df")
+    counts = terms.ngram_counts(term_records(spark, sf), 1, most_records(spark, sf)).select("term_set", F.col("ngram")[0].alias("term"), "cf", "df")
     return terms.verdicts(counts, term_totals(spark, sf)).select("term_set", "term", "cf", "df", "verdict")
 
 
@@ -147,8 +157,9 @@ def p4_word_ngrams(spark: SparkSession, sf: str) -> DataFrame:
     """Counts of all runs of 1 to 3 words of the verses' Roman lines."""
     words = F.filter(F.split("iast", r"[ \t\n\r\x0B\f|।॥]+"), lambda x: x != "")
     t = table(spark, sf, "verses").filter("verse_id is not null").groupBy("verse_id").agg(F.max("iast").alias("iast"))
-    records = t.select(F.lit("iast").alias("term_set"), F.col("verse_id").alias("record"), words.alias("terms"), F.lit(1).alias("weight"))
-    return terms.ngram_counts(records, 3).select(F.array_join("ngram", " ").alias("ngram"), "cf", "df")
+    records = t.select(F.lit("iast").alias("term_set"), F.col("verse_id").alias("record"), words.alias("terms"))
+    records = records.withColumn("weights", F.array_repeat(F.lit(1).cast("long"), F.size("terms"))).filter("terms is not null")
+    return terms.ngram_counts(records, 3, table(spark, sf, "verses").count()).select(F.array_join("ngram", " ").alias("ngram"), "cf", "df")
 
 
 # p6 ------------------------------------------------------------------------------------------------------------------

@@ -8,11 +8,12 @@ import pytest
 from chandas.llm import contamination, langid, mixing, terms
 
 
-def test_ngrams_equal_brute_force(spark):
+def test_ngrams_equal_brute_force(spark, monkeypatch):
     rnd = random.Random(2)
     docs = [(i, [rnd.choice("abcde") for _ in range(rnd.randint(0, 12))]) for i in range(200)]
     docs += [(500, ["a"] * 2000), (501, None), (502, ["a", None, "b"])]
-    df = spark.createDataFrame([("s", i, t, 1, "x") for i, t in docs] + [("s", 0, docs[0][1], 1, "x")], "term_set string, record long, terms array<string>, weight long, ngram string")
+    rows = [("s", i, t, [1] * len(t or []), "x") for i, t in docs] + [("s", 0, docs[0][1], [1] * len(docs[0][1]), "x"), ("s", None, ["a"], [1], "x")]
+    df = spark.createDataFrame(rows, "term_set string, record long, terms array<string>, weights array<long>, ngram string").repartition(3)
     cf, holders = Counter(), {}
     for i, t in docs + [docs[0]]:
         t = [x for x in t or [] if x]
@@ -22,8 +23,12 @@ def test_ngrams_equal_brute_force(spark):
                     g = tuple(t[p : p + n])
                     cf[g] += 1
                     holders.setdefault(g, set()).add(i)
-    got = {tuple(r.ngram): (r.cf, r.df) for r in terms.ngram_counts(df, 3).collect()}
-    assert got == {g: (n, len(holders[g])) for g, n in cf.items()}
+    want = {g: (n, len(holders[g])) for g, n in cf.items()}
+    assert {tuple(r.ngram): (r.cf, r.df) for r in terms.ngram_counts(df, 3).collect()} == want
+    # many splits and small chunks give the same
+    monkeypatch.setattr(terms, "SPLIT_RECORDS", 20)
+    monkeypatch.setattr(terms, "CHUNK", 30)
+    assert {tuple(r.ngram): (r.cf, r.df) for r in terms.ngram_counts(df, 3).collect()} == want
     assert terms.ngram_counts(df.limit(0), 3).count() == 0
 
 

@@ -11,11 +11,12 @@ from __future__ import annotations
 import re
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Labelled rows the classifier is fitted on, and centroids a language.
-FIT_ROWS, CLUSTERS, FIT_STEPS = 5000, 4, 10
+#: Labelled rows of each language the classifier is fitted on, and centroids a language.
+FIT_ROWS, CLUSTERS, FIT_STEPS = 1000, 4, 10
 BUCKETS = 1 << 15
 #: A language is held if a stretch of at least this many characters is in it.
 STRETCH = 60
@@ -175,99 +176,126 @@ class Classifier:
 
 
 def fit(samples: DataFrame, rows: int = FIT_ROWS) -> Classifier:
-    """From (lang, sample_text), at most `rows` of them by id; null or blank rows are left out."""
-    got = samples.filter("lang is not null and trim(sample_text) <> ''").orderBy("sample_id").select("lang", "sample_text").limit(rows).collect()
+    """From (lang, sample_text), at most `rows` of each language, by hash of sample_id; null or blank rows are left out.
+
+    The languages told apart are a stated handful: a language's samples beyond `rows` never leave the executors.
+    """
+    some = samples.filter("lang is not null and trim(sample_text) <> ''").select("lang", "sample_text", "sample_id")
+    place = F.row_number().over(W.partitionBy("lang").orderBy(F.xxhash64("sample_id"), "sample_id", "sample_text"))
+    got = some.withColumn("n", place).filter(F.col("n") <= rows).orderBy("sample_id", "lang", "sample_text").collect()
     return Classifier([(r[0], r[1]) for r in got])
 
 
 STRETCHES = T.StructType([
     T.StructField("doc_id", T.LongType()), T.StructField("seg_from", T.IntegerType()), T.StructField("seg_to", T.IntegerType()),
-    T.StructField("lang", T.StringType()), T.StructField("confidence", T.DoubleType()),
+    T.StructField("chars", T.IntegerType()), T.StructField("lang", T.StringType()), T.StructField("confidence", T.DoubleType()),
+])
+LABELS = T.StructType([
+    T.StructField("doc_id", T.LongType()), T.StructField("lang", T.StringType()), T.StructField("langs", T.ArrayType(T.StringType())),
+    T.StructField("main", T.StringType()), T.StructField("confidence", T.DoubleType()),
 ])
 #: Texts are scored so many characters at a time.
 CHUNK = 400_000
 
 
+def _joined(model: Classifier, docs: list[list[tuple[int, int, str]]]) -> list[list[tuple]]:
+    """Stretches (from, to, characters, language number, confidence) of each document, from its segments."""
+    flat = [s for segs in docs for s in segs]
+    lang, conf, letters = model.score([t for _, _, t in flat])
+    out, i = [], 0
+    for segs in docs:
+        found: list[list] = []  # from, to, characters, language, letters, letters times confidence
+        for s, e, _ in segs:
+            x, c, n = int(lang[i]), float(conf[i]), int(letters[i])
+            i += 1
+            if x < 0:
+                continue
+            if not found or found[-1][3] != x:
+                found.append([s, e, 0, x, 0, 0.0])
+            f = found[-1]
+            # what lies between two segments (tags, numbers, unrecognised bits) is no part of a stretch's characters
+            f[1], f[2], f[4], f[5] = e, f[2] + e - s, f[4] + n, f[5] + c * n
+        out.append([(a, z, size, x, sure / weight) for a, z, size, x, weight, sure in found])
+    return out
+
+
+def _scored(batches, model: Classifier):
+    """(rows of a batch, their stretches) for rows with text, a bounded number of characters at a time. Column 1 is the text."""
+    for b in batches:
+        rows, n = [], 0
+        for row in zip(*(c.to_pylist() for c in b.columns)):
+            if row[1] and not row[1].isspace():
+                rows.append(row)
+                n += len(row[1])
+                if n >= CHUNK:
+                    yield rows, _joined(model, [segments(r[1]) for r in rows])
+                    rows, n = [], 0
+        if rows:
+            yield rows, _joined(model, [segments(r[1]) for r in rows])
+
+
+def _batch(rows: list[tuple], schema: T.StructType):
+    import pyarrow as pa
+
+    kinds = {T.LongType: pa.int64(), T.IntegerType: pa.int32(), T.StringType: pa.string(), T.DoubleType: pa.float64(), T.ArrayType: pa.list_(pa.string())}
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kinds[type(f.dataType)]) for i, f in enumerate(schema)], names=schema.names)
+
+
 def _stretches_with(model):
     def run(batches):
-        import pyarrow as pa
-
         m = model.value
-        schema = pa.schema([("doc_id", pa.int64()), ("seg_from", pa.int32()), ("seg_to", pa.int32()), ("lang", pa.string()), ("confidence", pa.float64())])
-
-        def flush(docs):
-            flat = [s for _, segs in docs for s in segs]
-            lang, conf, letters = m.score([t for _, _, t in flat])
-            cols: tuple[list, ...] = ([], [], [], [], [])
-            i = 0
-            for doc, segs in docs:
-                run_lang, a, z, weight, sure = -1, 0, 0, 0, 0.0
-                for s, e, _ in segs:
-                    x, c, n = int(lang[i]), float(conf[i]), int(letters[i])
-                    i += 1
-                    if x < 0:
-                        continue
-                    if x != run_lang:
-                        if run_lang >= 0:
-                            for col, v in zip(cols, (doc, a, z, m.languages[run_lang], sure / weight)):
-                                col.append(v)
-                        run_lang, a, weight, sure = x, s, 0, 0.0
-                    z, weight, sure = e, weight + n, sure + c * n
-                if run_lang >= 0:
-                    for col, v in zip(cols, (doc, a, z, m.languages[run_lang], sure / weight)):
-                        col.append(v)
-            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema)], schema=schema)
-
-        for b in batches:
-            docs, n = [], 0
-            for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                if not text or text.isspace():
-                    continue
-                docs.append((doc, segments(text)))
-                n += len(text)
-                if n >= CHUNK:
-                    yield flush(docs)
-                    docs, n = [], 0
-            if docs:
-                yield flush(docs)
+        for rows, found in _scored(batches, m):
+            yield _batch([(r[0], a, z, n, m.languages[x], c) for r, f in zip(rows, found) for a, z, n, x, c in f], STRETCHES)
 
     return run
 
 
-def stretches(documents: DataFrame, model: Classifier) -> DataFrame:
-    """doc_id, seg_from, seg_to, lang, confidence: adjacent segments of one language as one row. documents: doc_id, text.
+def _label(model: Classifier, found: list[tuple], least: int) -> tuple:
+    """(held languages, main language, its confidence) of a document's stretches."""
+    size: dict[str, int] = {}
+    longest: dict[str, int] = {}
+    sure: dict[str, float] = {}
+    for _, _, n, x, c in found:
+        k = model.languages[x]
+        size[k] = size.get(k, 0) + n
+        longest[k], sure[k] = max(longest.get(k, 0), n), max(sure.get(k, 0.0), c)
+    main = min(size, key=lambda k: (-size[k], k), default=None)
+    return sorted(k for k in longest if longest[k] >= least), main, sure.get(main, 0.0)
 
-    Null, blank and unrecognised texts give no row. No shuffle.
-    """
-    shared = documents.sparkSession.sparkContext.broadcast(model)  # languages x clusters x BUCKETS floats, whatever the data
-    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("text is not null").mapInArrow(_stretches_with(shared), STRETCHES)
+
+def _labels_with(model, least: int):
+    def run(batches):
+        m = model.value
+        for rows, found in _scored(batches, m):
+            yield _batch([(r[0], r[2], *_label(m, f, least)) for r, f in zip(rows, found)], LABELS)
+
+    return run
 
 
-def languages(documents: DataFrame, model: Classifier) -> DataFrame:
-    """doc_id, lang, chars (in all stretches), longest, confidence, however short the stretches are."""
-    size = F.col("seg_to") - F.col("seg_from")
-    return stretches(documents, model).groupBy("doc_id", "lang").agg(F.sum(size).alias("chars"), F.max(size).alias("longest"), F.max("confidence").alias("confidence"))
+def _shared(documents: DataFrame, model: Classifier):
+    return documents.sparkSession.sparkContext.broadcast(model)  # languages x clusters x BUCKETS floats, whatever the data
 
 
-def held_languages(documents: DataFrame, model: Classifier, least: int = STRETCH) -> DataFrame:
-    """doc_id, lang, chars (in all stretches), longest, confidence, main (the language of most characters; ties to the first by name)."""
-    by = languages(documents, model)
-    main = by.groupBy("doc_id").agg(F.min_by("lang", F.struct(-F.col("chars"), "lang")).alias("main"))
-    return by.filter(F.col("longest") >= least).join(main, "doc_id")
+def stretches(documents: DataFrame, model: Classifier) -> DataFrame:
+    """doc_id, seg_from, seg_to, chars, lang, confidence: adjacent segments of one language as one row. documents: doc_id, text.
+
+    chars: characters of the segments themselves, without tags and other bits between them. Null, blank and
+    unrecognised texts give no row. No shuffle.
+    """
+    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("text is not null")
+    return docs.mapInArrow(_stretches_with(_shared(documents, model)), STRETCHES)
 
 
 def relabel(documents: DataFrame, model: Classifier, least: int = STRETCH) -> DataFrame:
-    """doc_id, lang (stored), stored_code, langs (held, sorted), main, confidence of main, wrong.
+    """doc_id, lang (stored), stored_code, langs (held, sorted), main, confidence of main, wrong. documents: doc_id, text, lang.
 
-    wrong: the label is missing or names another language than the main one, or several languages are held. One row a
-    document id with recognised text; main and confidence come from all its stretches, langs from those of at least
-    `least` characters, so that langs may be empty.
+    wrong: the label is missing or names another language than the main one, or several languages are held. One row for
+    each document with text; main (the language of most characters, ties to the first by name) and confidence come from
+    all its stretches, langs from those of at least `least` characters, so that langs may be empty. Where nothing is
+    recognised main is null, the confidence 0, and wrong says whether the label is missing. Null and blank texts give
+    no row; a repeated document gives repeated rows. Each text is scored once, in one narrow pass.
     """
-    main = F.min_by(F.struct("lang", "confidence"), F.struct(-F.col("chars"), "lang"))
-    per = languages(documents, model).groupBy("doc_id").agg(
-        F.sort_array(F.collect_set(F.when(F.col("longest") >= least, F.col("lang")))).alias("langs"), main.alias("_main")
-    ).select("doc_id", "langs", F.col("_main.lang").alias("main"), F.col("_main.confidence").alias("confidence"))
-    code = standard_language(F.col("lang"))
-    docs = documents.select("doc_id", "lang", code.alias("stored_code"))
-    wrong = F.col("stored_code").isNull() | (F.col("stored_code") != F.col("main")) | (F.size("langs") > 1)
-    return docs.join(per, "doc_id").withColumn("wrong", wrong)
+    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.col("lang").cast("string").alias("lang")).filter("text is not null")
+    got = docs.mapInArrow(_labels_with(_shared(documents, model), least), LABELS).withColumn("stored_code", standard_language(F.col("lang")))
+    wrong = F.col("stored_code").isNull() | F.coalesce(F.col("stored_code") != F.col("main"), F.lit(False)) | (F.size("langs") > 1)
+    return got.select("doc_id", "lang", "stored_code", "langs", "main", "confidence", wrong.alias("wrong"))

@@ -3,11 +3,13 @@
 The automaton holds every run of words of every item. A document's words are streamed through it; the state always
 stands for the longest run of item words that ends here. Where that run reaches `min_words`, the state of its last
 `min_words` words names all items holding them. The automaton's size is bounded by the items (two states a word); past
-MAX_BLOCK_WORDS the items are split into blocks of their own automaton each and the documents are streamed once a block.
+MAX_BLOCK_WORDS the items are split into blocks of their own automaton each. Automata are built once and broadcast; the
+corpus is read once, a group of documents being streamed through one automaton after the other.
 """
 
 from __future__ import annotations
 
+import functools
 import re
 import unicodedata
 
@@ -148,17 +150,47 @@ class Automaton:
         return out
 
 
-def _blocks(items: DataFrame) -> list[list[tuple[int, str]]]:
-    """The stated query set, in blocks of bounded size; each block is fetched by itself."""
-    sized = items.select(F.col("item_id"), F.col("item_text")).filter("item_id is not null and item_text is not null")
+#: Characters of documents streamed through a block before the next is loaded, where there are several.
+GROUP_CHARS = 16_000_000
+
+
+def _blocks(items: DataFrame, k: int) -> list:
+    """The stated query set as broadcast automata of bounded size each. Items come to the driver one partition at a time."""
+    spark = items.sparkSession
     blocks, block, n = [], [], 0
-    for r in sized.toLocalIterator():
+
+    def close():
+        if block:
+            blocks.append(spark.sparkContext.broadcast(Automaton(block, k)))
+
+    for r in items.select("item_id", "item_text").filter("item_id is not null and item_text is not null").toLocalIterator():
         block.append((r[0], r[1]))
-        n += len(r[1]) // 4 + 1
+        n += len(words(r[1]))
         if n >= MAX_BLOCK_WORDS:
-            blocks.append(block)
+            close()
             block, n = [], 0
-    return blocks + [block] if block else blocks
+    close()
+    return blocks
+
+
+def _loaded(blocks: list):
+    """Each block's automaton in turn; a single one is kept between calls, of several only one is held at a time."""
+    for b in blocks:
+        yield b.value if len(blocks) == 1 or getattr(b, "_path", None) is None else b.load_from_path(b._path)
+
+
+def _groups(batches, several: bool):
+    """Rows of the batches, put together to groups of GROUP_CHARS where several automata wait. Column 1 is the text."""
+    rows, n = [], 0
+    for b in batches:
+        for row in zip(*(c.to_pylist() for c in b.columns)):
+            rows.append(row)
+            n += len(row[1] or "")
+        if rows and (not several or n >= GROUP_CHARS):
+            yield rows
+            rows, n = [], 0
+    if rows:
+        yield rows
 
 
 REPORT = T.StructType([
@@ -167,34 +199,40 @@ REPORT = T.StructType([
 ])
 
 
-def _report_with(block: list[tuple[int, str]], k: int):
+def _batch(rows: list[tuple], schema: T.StructType):
+    import pyarrow as pa
+
+    kinds = {T.LongType: pa.int64(), T.IntegerType: pa.int32(), T.StringType: pa.string(), T.DoubleType: pa.float64(), T.BooleanType: pa.bool_()}
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kinds[type(f.dataType)]) for i, f in enumerate(schema)], names=schema.names)
+
+
+def _measured(auto: Automaton, hits: list[tuple[int, int, int]]) -> dict[int, list[int]]:
+    """Of each item in a document's hits: longest joined stretch, words matched, current stretch's start and end."""
+    by: dict[int, list[int]] = {}
+    for end, _, v in hits:
+        for item in auto.owners[auto.at_k[v]]:
+            e = by.setdefault(item, [0, 0, 0, 0])
+            start = end - auto.k
+            if start < e[3] and e[1]:
+                e[1] += end - e[3]
+            else:
+                e[1] += auto.k
+                e[2] = start
+            e[3] = end
+            e[0] = max(e[0], end - e[2])
+    return by
+
+
+def _report_with(blocks: list, k: int):
     def run(batches):
-        import pyarrow as pa
-
-        auto = Automaton(block, k)
-        schema = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("longest", pa.int32()), ("words_matched", pa.int32()), ("doc_words", pa.int32())])
-        for b in batches:
-            cols: tuple[list, ...] = ([], [], [], [], [])
-            for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                tokens = words(text)
-                if len(tokens) < k or not (hits := auto.stream(tokens)):
-                    continue
-                by: dict[int, list[int]] = {}
-                for end, n, v in hits:
-                    for item in auto.owners[auto.at_k[v]]:
-                        e = by.setdefault(item, [0, 0, 0, 0])  # longest, matched, current run's start and end
-                        start = end - k
-                        if start < e[3] and e[1]:
-                            e[1] += end - e[3]
-                        else:
-                            e[1] += k
-                            e[2] = start
-                        e[3] = end
-                        e[0] = max(e[0], end - e[2])
-                for item, e in by.items():
-                    for c, x in zip(cols, (doc, item, e[0], e[1], len(tokens))):
-                        c.append(x)
-            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema)], schema=schema)
+        for group in _groups(batches, len(blocks) > 1):
+            docs = [(doc, t) for doc, text in group if len(t := words(text)) >= k]
+            rows = []
+            for auto in _loaded(blocks):
+                for doc, tokens in docs:
+                    if hits := auto.stream(tokens):
+                        rows += [(doc, item, e[0], e[1], len(tokens)) for item, e in _measured(auto, hits).items()]
+            yield _batch(rows, REPORT)
 
     return run
 
@@ -204,23 +242,29 @@ def leaks(documents: DataFrame, items: DataFrame, min_words: int = MIN_WORDS) ->
 
     documents: doc_id, text; items: item_id, item_text; other columns are ignored. Null or empty texts, and items of
     fewer than min_words words, match nothing. Repeated documents give repeated rows; items that share text all come
-    out. One narrow pass over the documents for each block of items, no shuffle.
+    out. One narrow pass over the documents, no shuffle.
     """
+    blocks = _blocks(items, min_words)
+    if not blocks:
+        return documents.sparkSession.createDataFrame([], REPORT)
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").filter("text is not null")
-    out = None
-    for block in _blocks(items):
-        part = docs.mapInArrow(_report_with(block, min_words), REPORT)
-        out = part if out is None else out.unionAll(part)
-    return out if out is not None else documents.sparkSession.createDataFrame([], REPORT)
+    return docs.mapInArrow(_report_with(blocks, min_words), REPORT)
+
+
+@functools.lru_cache(maxsize=1 << 16)
+def _extends(c: str) -> bool:
+    """Whether a character may compose with what stands before it, or may stand hidden in between."""
+    first = unicodedata.normalize("NFKC", c)[:1]
+    return unicodedata.category(first)[0] == "M" or "\u1160" <= first <= "\u11ff" or bool(_HIDDEN.match(c))
 
 
 def _offsets(text: str) -> list[tuple[str, int, int]]:
-    """Words with their place in the raw text. Base characters and their marks are normalised together."""
+    """Words with their place in the raw text. Characters are normalised together with all that may compose with them."""
     out: list[tuple[str, int, int]] = []
     word, start, end, i = "", 0, 0, 0
     while i < len(text):
         j = i + 1
-        while j < len(text) and (unicodedata.combining(text[j]) or unicodedata.category(text[j]) == "Cf"):
+        while j < len(text) and _extends(text[j]):
             j += 1
         for c in normalise(text[i:j]):
             if _APART.fullmatch(c):
@@ -236,70 +280,61 @@ def _offsets(text: str) -> list[tuple[str, int, int]]:
     return out + [(word, start, end)] if word else out
 
 
-SPANS = T.StructType([
-    T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType()), T.StructField("spans", T.ArrayType(T.IntegerType())),
-])
 CLEAN = T.StructType([
     T.StructField("doc_id", T.LongType()), T.StructField("clean_text", T.StringType()), T.StructField("removed_chars", T.LongType()),
     T.StructField("coverage", T.DoubleType()), T.StructField("dropped", T.BooleanType()),
 ])
 
 
-def _found(auto: Automaton, tokens: list[str], spans: list[int]) -> list[int]:
-    """Spans (from, to, from, to ... in words) with those of one automaton's hits added, sorted, joined where they touch."""
-    hits = auto.stream(tokens) if len(tokens) >= auto.k else []
-    out: list[int] = []
-    for s, e in sorted([*zip(spans[::2], spans[1::2]), *((end - n, end) for end, n, _ in hits)]):
-        if out and s <= out[-1]:
-            out[-1] = max(out[-1], e)
+def _joined(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Spans in order, joined where they overlap or touch."""
+    out: list[list[int]] = []
+    for s, e in sorted(spans):
+        if out and s <= out[-1][1]:
+            out[-1][1] = max(out[-1][1], e)
         else:
-            out += (s, e)
-    return out
-
-
-def _spans_with(block, k):
-    def run(batches):
-        import pyarrow as pa
+            out.append([s, e])
+    return [(s, e) for s, e in out]
 
-        auto = Automaton(block, k)
-        for b in batches:
-            got = [_found(auto, words(text) if text else [], spans) for text, spans in zip(b.column(1).to_pylist(), b.column(2).to_pylist())]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(got, pa.list_(pa.int32()))], names=["doc_id", "text", "spans"])
 
-    return run
+def _cut(text: str, places: list[tuple[str, int, int]], spans: list[tuple[int, int]], cut_words: int) -> tuple[str, int]:
+    """The text without its spans of at least cut_words words, and how many characters went."""
+    kept, at, gone = [], 0, 0
+    for s, e in spans:
+        if e - s >= cut_words:
+            a, z = places[s][1], places[e - 1][2]
+            kept.append(text[at:a])
+            at, gone = z, gone + z - a
+    return "".join(kept) + text[at:], gone
 
 
-def _clean_with(block, k, cut_words, drop):
+def _clean_with(blocks: list, k: int, cut_words: int, drop: float):
     def run(batches):
-        import pyarrow as pa
-
-        auto = Automaton(block, k)
-        for b in batches:
+        for group in _groups(batches, len(blocks) > 1):
+            docs = [words(text) if text else [] for _, text in group]
+            spans: list[list[tuple[int, int]]] = [[] for _ in group]
+            places: dict[int, list] = {}
+            for auto in _loaded(blocks):
+                for i in range(len(group)):
+                    if len(docs[i]) < k or not (hits := auto.stream(docs[i])):
+                        continue
+                    if i not in places:  # from the first hit on, words are those whose places are known
+                        places[i] = _offsets(group[i][1])
+                        if len(places[i]) != len(docs[i]) or any(p[0] != w for p, w in zip(places[i], docs[i])):
+                            docs[i] = [w for w, _, _ in places[i]]
+                            hits = auto.stream(docs[i])
+                    spans[i] += [(end - n, end) for end, n, _ in hits]
             rows = []
-            for doc, text, before in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
-                tokens = words(text) if text else []
-                flat = _found(auto, tokens, before)
-                if not flat:
-                    rows.append((doc, text, 0, 0.0, False))
-                    continue
-                spans = list(zip(flat[::2], flat[1::2]))
-                coverage = sum(e - s for s, e in spans) / len(tokens)
+            for i, (doc, text) in enumerate(group):
+                joined = _joined(spans[i])
+                coverage = sum(e - s for s, e in joined) / len(docs[i]) if joined else 0.0
                 if coverage > drop:
                     rows.append((doc, "", len(text), coverage, True))
-                    continue
-                places = _offsets(text)
-                kept, at, gone = [], 0, 0
-                for s, e in spans:
-                    if e - s < cut_words or e > len(places):
-                        continue
-                    a, z = places[s][1], places[e - 1][2]
-                    kept.append(text[at:a])
-                    at, gone = z, gone + z - a
-                rows.append((doc, "".join(kept) + text[at:], gone, coverage, False))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.string(), pa.int64(), pa.float64(), pa.bool_()))],
-                names=["doc_id", "clean_text", "removed_chars", "coverage", "dropped"],
-            )
+                elif not joined:
+                    rows.append((doc, text, 0, 0.0, False))
+                else:
+                    rows.append((doc, *_cut(text, places[i], joined, cut_words), coverage, False))
+            yield _batch(rows, CLEAN)
 
     return run
 
@@ -312,10 +347,7 @@ def clean(documents: DataFrame, items: DataFrame, min_words: int = MIN_WORDS, cu
     and joined before anything is measured or cut, so the result doesn't depend on how the items are split.
     """
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    blocks = _blocks(items)
+    blocks = _blocks(items, min_words)
     if not blocks:
         return docs.select("doc_id", F.col("text").alias("clean_text"), F.lit(0).cast("long").alias("removed_chars"), F.lit(0.0).alias("coverage"), F.lit(False).alias("dropped"))
-    out = docs.withColumn("spans", F.array().cast("array<int>"))
-    for block in blocks[:-1]:
-        out = out.mapInArrow(_spans_with(block, min_words), SPANS)
-    return out.mapInArrow(_clean_with(blocks[-1], min_words, cut_words, drop_coverage), CLEAN)
+    return docs.mapInArrow(_clean_with(blocks, min_words, cut_words, drop_coverage), CLEAN)

@@ -66,9 +66,11 @@ def test_cleaning_does_not_depend_on_blocks(spark, monkeypatch):
         (4, " ".join(["x"] * 20 + w[10:15] + w[40:52] + w[52:60] + ["z"] * 20)), (5, None), (6, ""), (7, "plain " * 20),
     ]
     d = spark.createDataFrame(docs, "doc_id long, text string")
-    whole = sorted(map(tuple, contamination.clean(d, items).collect()))
+    whole, leaked = sorted(map(tuple, contamination.clean(d, items).collect())), sorted(map(tuple, contamination.leaks(d, items).collect()))
     monkeypatch.setattr(contamination, "MAX_BLOCK_WORDS", 1)
-    assert len(contamination._blocks(items)) == 4
+    monkeypatch.setattr(contamination, "GROUP_CHARS", 1)
+    assert len(contamination._blocks(items, 10)) == 4
+    assert sorted(map(tuple, contamination.leaks(d, items).collect())) == leaked
     assert sorted(map(tuple, contamination.clean(d, items).collect())) == whole
     r = {x[0]: x for x in whole}
     assert r[1][4] and abs(r[1][3] - 33 / 36) < 1e-9 and r[2][1] == " ".join(["x"] * 30) + "  " + " ".join(["y"] * 30)
@@ -76,6 +78,16 @@ def test_cleaning_does_not_depend_on_blocks(spark, monkeypatch):
     assert r[4][1] == " ".join(["x"] * 20 + w[10:15]) + "  " + " ".join(w[52:60] + ["z"] * 20)
 
 
+def test_places_are_those_of_the_words():
+    rnd = random.Random(8)
+    pool = ["a", "B", "é", "e", "\u0301", "\u200b", "\u0951", " ", "\u00a0", "\n", "-", "…", "ﬁ", "Ｑ", "ｶ", "ﾞ", "কো", "ে", "া", "क", "्", "़", "한", "\u1112", "\u1161", "\u11ab", "\u3164", "ß", "İ", "।", "’", "½"]
+    for _ in range(3000):
+        t = "".join(rnd.choice(pool) for _ in range(rnd.randint(0, 14)))
+        got = contamination._offsets(t)
+        assert [w for w, _, _ in got] == contamination.words(t), repr(t)
+        assert all(a < z for _, a, z in got) and all(x[2] <= y[1] for x, y in zip(got, got[1:]))
+
+
 def test_automaton_equals_brute_force():
     rnd = random.Random(4)
     for _ in range(30):
@@ -126,12 +138,13 @@ SAMPLES = [
 def test_languages(spark):
     s = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(SAMPLES)] + [(90, None, "x"), (91, "en", " ")], "sample_id long, lang string, sample_text string")
     en, de, hi = (SAMPLES[i][1] for i in (0, 2, 4))
-    docs = [(1, en + " " + en, "English"), (2, en + "\n" + de, "en"), (3, hi, None), (4, de, "und"), (5, en, "de-AT"), (6, None, "en"), (7, " \n", "en"), (8, "12 34 ¶¶ " * 30, "en"), (9, en * 500, "en"), (10, "Mandala: 1\nRishis: " + "Ab" * 60 + "\nENG: " + en, "EN")]
-    d = spark.createDataFrame([(*x, "z") for x in docs], "doc_id long, text string, lang string, confidence string")
+    docs = [(1, en + " " + en, "English"), (2, en + "\n" + de, "en"), (3, hi, None), (4, de, "und"), (5, en, "de-AT"), (6, None, "en"), (7, " \n", "en"), (8, "12 34 ¶¶ " * 30, "en"), (9, en * 500, "en"), (10, "Mandala: 1\nRishis: " + "Ab" * 60 + "\nENG: " + en, "EN"), (11, "\n".join([de[:40], "[Verse 1]", "Rishis: " + "x" * 60, en]), "en")]
+    d = spark.createDataFrame([(*x, "z") for x in docs], "doc_id long, text string, lang string, main string")
     m = langid.fit(s)
     r = {x.doc_id: x for x in langid.relabel(d, m).collect()}
     assert r[1].wrong is False and r[2].langs == ["de", "en"] and r[2].wrong and r[3].langs == ["hi"] and r[3].wrong and r[4].main == "de" and r[4].wrong and r[5].wrong and r[5].main == "en"
-    assert not {6, 7, 8} & set(r) and r[9].wrong is False and r[10].wrong is False and 0 < r[1].confidence <= 1
+    assert not {6, 7} & set(r) and (r[8].main, r[8].langs, r[8].confidence, r[8].wrong) == (None, [], 0.0, False) and r[9].wrong is False and r[10].wrong is False and 0 < r[1].confidence <= 1
+    assert r[11].langs == ["en"]  # tags between segments are no part of a stretch
     assert langid.relabel(d.limit(0), m).count() == 0
 
 

@@ -5,11 +5,14 @@ Of all windows of `length` code points, each window's fingerprint is the least h
 the least and greatest record id that has them form one immutable run: a table bucketed and sorted by fingerprint in
 the shared folder. A new batch's run is merge-joined with the historical runs (bucketed alike: no shuffle); where a
 fingerprint has two record ids, windows with it are candidates. Candidates are verified by a 64-bit and a 32-bit hash
-of the whole window over all records that hold it, found stretches are joined, and runs are compacted into one when
-there are more than FANOUT.
+of the whole window over all records that hold it, and found stretches are joined.
 
-Fingerprints never leave the executors: the scan that emits candidate windows carries a bit map of fixed size
-(BITMAP_BITS) in which shared fingerprints are marked; wrong bits only cost work, as every window is verified.
+Runs have levels. FANOUT runs of a level are merged, by merge joins, into one of the next, and deleted; so a
+fingerprint is written once for each level, and levels grow with the logarithm of the batches.
+
+Shared fingerprints don't leave the executors one by one: the scan that emits candidate windows carries a bit map in
+which they are marked, of a size that follows their number up to MOST_BITS; wrong bits only cost work, as every window
+is verified. Beyond that, candidate windows are joined with the fingerprints instead.
 """
 
 from __future__ import annotations
@@ -20,12 +23,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from chandas.common import scratch, shuffle_partitions
+from chandas.common import cut, scratch, shuffle_partitions
 
 LENGTH, GRAM, FANOUT = 60, 40, 4
-#: Size of the bit map of shared fingerprints: 2 MB, whatever the data.
-BITMAP_BITS = 1 << 24
-_WORDS = BITMAP_BITS // 64
+#: Size of the bit map of shared fingerprints: 128 KB at least, 32 MB at most; bits for each fingerprint.
+LEAST_BITS, MOST_BITS, BITS_EACH = 1 << 20, 1 << 28, 16
 
 
 def _mix(x):
@@ -138,41 +140,44 @@ def _fingerprints(length: int, gram: int):
 
 
 def _candidates(length: int, gram: int, bitmap):
+    """One row a record with candidates: their starts, fingerprints and two hashes. bitmap None: all windows."""
+
     def run(batches):
         import numpy as np
         import pyarrow as pa
 
-        bits = np.frombuffer(bitmap.value, np.uint64)
+        bits = None if bitmap is None else np.frombuffer(bitmap.value, np.uint64)
+        kind = pa.struct([("start", pa.int32()), ("fp", pa.int64()), ("h1", pa.int64()), ("h2", pa.int32())])
         for b in batches:
             for block in _chunks(*(b.column(i).to_pylist() for i in range(3)), length):
                 record, start, least, codes, at = _scan(block, length, gram)
                 fp = _seed(block, record, least)
-                slot = fp % np.uint64(BITMAP_BITS)
-                hit = (bits[slot >> np.uint64(6)] >> (slot & np.uint64(63))) & np.uint64(1) == 1
-                record, start, at = record[hit], start[hit], at[hit]
-                one = _windows(codes, length, 0x2545F4914F6CDD1D)[at]
+                if bits is not None:
+                    slot = fp % np.uint64(len(bits) * 64)
+                    hit = (bits[slot >> np.uint64(6)] >> (slot & np.uint64(63))) & np.uint64(1) == 1
+                    record, start, at, fp = record[hit], start[hit], at[hit], fp[hit]
+                one = _seed(block, record, _windows(codes, length, 0x2545F4914F6CDD1D)[at])
                 two = _windows(codes, length, 0xD1342543DE82EF95)[at]
-                one = _seed(block, record, one)
-                ids = np.array([i for i, _, _ in block], np.int64)
-                names = pa.array([f for _, f, _ in block]).dictionary_encode()
-                field = pa.DictionaryArray.from_arrays(pa.array(np.asarray(names.indices)[record]), names.dictionary).cast(pa.string())
-                yield pa.RecordBatch.from_arrays(
-                    [field, pa.array(ids[record]), pa.array(start.astype(np.int32)), pa.array(one.view(np.int64)), pa.array((two >> np.uint64(32)).astype(np.uint32).view(np.int32))],
-                    names=["field", "id", "start", "h1", "h2"],
+                first = np.flatnonzero(np.concatenate([[True], record[1:] != record[:-1]])) if len(record) else np.zeros(0, np.int64)
+                flat = pa.StructArray.from_arrays(
+                    [pa.array(start.astype(np.int32)), pa.array(fp.view(np.int64)), pa.array(one.view(np.int64)), pa.array((two >> np.uint64(32)).astype(np.uint32).view(np.int32))], fields=list(kind)
                 )
+                windows = pa.ListArray.from_arrays(pa.array(np.append(first, len(record)).astype(np.int32)), flat)
+                holders = record[first]
+                yield pa.RecordBatch.from_arrays([pa.array([block[i][1] for i in holders], pa.string()), pa.array([block[i][0] for i in holders], pa.int64()), windows], names=["field", "id", "windows"])
 
     return run
 
 
 FP = "fp long, id long"
-CAND = "field string, id long, start int, h1 long, h2 int"
+CAND = "field string, id long, windows array<struct<start: int, fp: long, h1: long, h2: int>>"
 
 
 class SpanIndex:
     """Runs of fingerprints of everything added so far. records: id long, field string, text string.
 
     Null ids and texts, and texts shorter than `length`, take no part. Rows repeated under one id never match each
-    other. Extra columns are ignored.
+    other. Extra columns are ignored. drop() deletes the runs; what add() and verify() gave stays readable.
     """
 
     def __init__(self, spark, length: int = LENGTH, gram: int = GRAM, path: str | None = None):
@@ -181,7 +186,11 @@ class SpanIndex:
         self.spark, self.length, self.gram = spark, length, gram
         self.path = path or scratch(spark, "spans")
         self.parts = shuffle_partitions(spark)
-        self.runs: list[str] = []
+        self.levels: list[list[str]] = []
+
+    @property
+    def runs(self) -> list[str]:
+        return [run for level in self.levels for run in level]
 
     def _write(self, df: DataFrame) -> str:
         """One immutable run: bucketed and sorted by fingerprint."""
@@ -189,52 +198,78 @@ class SpanIndex:
         df.write.bucketBy(self.parts, "fp").sortBy("fp").option("path", f"{self.path}/{name}").option("compression", "zstd").saveAsTable(name)
         return name
 
+    def _delete(self, run: str) -> None:
+        self.spark.sql(f"DROP TABLE IF EXISTS {run}")
+        jvm, at = self.spark._jvm, f"{self.path}/{run}"
+        where = jvm.org.apache.hadoop.fs.Path(at)
+        where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
+
     def _run(self, records: DataFrame) -> str:
         fps = records.select("id", "field", "text").mapInArrow(_fingerprints(self.length, self.gram), FP)
         return self._write(fps.groupBy("fp").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).repartition(self.parts, "fp"))
 
     def add(self, records: DataFrame) -> DataFrame:
-        """Index a batch; returns the fingerprints that are now shared and involve the batch (fp)."""
+        """Index a batch; returns the fingerprints that are now shared and involve the batch (fp), checkpointed."""
         new = self._run(records)
         shared = self.spark.table(new).filter("lo <> hi").select("fp")
         for run in self.runs:
             old, fresh = self.spark.table(run).alias("o"), self.spark.table(new).alias("n").hint("merge")
             two = F.least("o.lo", "n.lo") != F.greatest("o.hi", "n.hi")
             shared = shared.unionAll(old.join(fresh, F.col("o.fp") == F.col("n.fp")).filter(two).select(F.col("n.fp").alias("fp")))
-        self.runs.append(new)
-        if len(self.runs) > FANOUT:
-            self.compact()
+        shared = cut(shared)  # runs may go from here on
+        self._keep(new, 0)
         return shared
 
-    def compact(self) -> None:
-        """Merge all runs into one. The old ones stay readable until drop()."""
-        merged = self.spark.table(self.runs[0])
-        for run in self.runs[1:]:
+    def _keep(self, run: str, level: int) -> None:
+        if level == len(self.levels):
+            self.levels.append([])
+        self.levels[level].append(run)
+        if len(self.levels[level]) >= FANOUT:
+            merged = self.compact(self.levels[level])
+            self.levels[level] = []
+            self._keep(merged, level + 1)
+
+    def compact(self, runs: list[str]) -> str:
+        """Merge runs into a new one and delete them. Bucketed and sorted alike, they need no shuffle."""
+        merged = self.spark.table(runs[0])
+        for run in runs[1:]:
             a, b = merged.alias("a"), self.spark.table(run).alias("b").hint("merge")
             merged = a.join(b, "fp", "full").select("fp", F.least("a.lo", "b.lo").alias("lo"), F.greatest("a.hi", "b.hi").alias("hi"))
-        self.runs = [self._write(merged)]
+        new = self._write(merged)
+        for run in runs:
+            self._delete(run)
+        return new
 
     def drop(self) -> None:
         for run in self.runs:
-            self.spark.sql(f"DROP TABLE IF EXISTS {run}")
-        self.runs = []
+            self._delete(run)
+        self.levels = []
 
     def _bitmap(self, shared: DataFrame):
-        """Shared fingerprints as bits: at most _WORDS rows come to the driver, whatever the data."""
+        """Shared fingerprints as bits, at most MOST_BITS; None where they are too many for that."""
         import numpy as np
 
-        slot = F.col("fp").bitwiseAND(BITMAP_BITS - 1)
+        wanted = BITS_EACH * shared.count()
+        if wanted > MOST_BITS:
+            return None
+        bits = LEAST_BITS
+        while bits < wanted:
+            bits *= 2
+        slot = F.col("fp").bitwiseAND(bits - 1)
         bit = F.expr("shiftleft(1L, cast(slot % 64 as int))")
         rows = shared.select(slot.alias("slot")).select(F.shiftright("slot", 6).cast("int").alias("word"), bit.alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("bits"))
         got = rows.toPandas()
-        bits = np.zeros(_WORDS, np.int64)
-        bits[got["word"].to_numpy()] = got["bits"].to_numpy()
-        return self.spark.sparkContext.broadcast(bits.tobytes())
+        out = np.zeros(bits // 64, np.int64)
+        out[got["word"].to_numpy()] = got["bits"].to_numpy()
+        return self.spark.sparkContext.broadcast(out.tobytes())
 
     def verify(self, records: DataFrame, shared: DataFrame) -> DataFrame:
         """field, id, span_from, span_to: joined stretches of windows that another record holds verbatim."""
         bitmap = self._bitmap(shared)
-        windows = records.select("id", "field", "text").mapInArrow(_candidates(self.length, self.gram, bitmap), CAND)
+        found = cut(records.select("id", "field", "text").mapInArrow(_candidates(self.length, self.gram, bitmap), CAND))
+        windows = found.select("field", "id", F.inline("windows"))
+        if bitmap is None:
+            windows = windows.join(shared.distinct(), "fp", "left_semi")
         # summed up on the map side first: a window held by a third of all records sends a row a task, not a row a record
         two = windows.groupBy("h1", "h2").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).filter("lo <> hi").select("h1", "h2")
         held = windows.join(two, ["h1", "h2"], "left_semi")
@@ -250,10 +285,11 @@ def shared_spans(records: DataFrame, length: int = LENGTH, gram: int = GRAM, bat
     index = SpanIndex(records.sparkSession, length, gram)
     shared = None
     for i in range(batches):
-        part = records.filter(F.pmod(F.xxhash64("id"), F.lit(batches)) == i)
-        more = index.add(part)
+        more = index.add(records.filter(F.pmod(F.xxhash64("id"), F.lit(batches)) == i))
         shared = more if shared is None else shared.unionAll(more)
-    return index.verify(records, shared)
+    out = index.verify(records, shared)
+    index.drop()  # nothing of the result reads the runs any more
+    return out
 
 
 def coverage(records: DataFrame, spans: DataFrame) -> DataFrame:
@@ -262,4 +298,3 @@ def coverage(records: DataFrame, spans: DataFrame) -> DataFrame:
     base = records.filter("text is not null and id is not null").groupBy("field", "id").agg(F.max(F.length("text")).alias("chars"))
     out = base.join(got, ["field", "id"], "left").na.fill(0, ["shared_chars"])
     return out.withColumn("share", F.when(F.col("chars") > 0, F.col("shared_chars") / F.col("chars")).otherwise(F.lit(0.0)))
-

@@ -1,4 +1,4 @@
-"""Small helpers shared by all operators: table access, lineage cuts, bounded broadcasts."""
+"""Small helpers shared by all operators: table access, lineage cuts."""
 
 from __future__ import annotations
 
@@ -9,19 +9,18 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Largest side that may be broadcast, in rows times declared row width (bytes).
-BROADCAST_LIMIT_BYTES = 32 * 1024 * 1024
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share. Read from spark.checkpoint.dir; only a session without it gets its own."""
+    """The folder all executors share, from spark.checkpoint.dir. Only a session in one process may do without and gets its own."""
     set_to = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if set_to:
         return set_to
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     own = os.path.join(tempfile.gettempdir(), f"chandas-{spark.sparkContext.applicationId}")
     spark.conf.set("spark.checkpoint.dir", own)
     return own
@@ -40,11 +39,6 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def broadcast_if(df: DataFrame, rows: int, row_bytes: int) -> DataFrame:
-    """Hint a broadcast only where rows (a proven upper bound) times row_bytes stays under the limit."""
-    return F.broadcast(df) if rows * row_bytes <= BROADCAST_LIMIT_BYTES else df
-
-
 def shuffle_partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 

@@ -74,9 +74,12 @@ def _first_fit(some: Column) -> Column:
     return out
 
 
-def pada_counts(dev: Column, iast: Column) -> Column:
-    """Explicit counts of three or more segments; else the inferred pattern; else explicit counts, if any; else from Devanagari."""
-    found = infer(text.words(F.coalesce(iast, F.lit(""))))
+def pada_counts(dev: Column, iast: Column, spoken: Column | None = None) -> Column:
+    """Explicit counts of three or more segments; else the inferred pattern; else explicit counts, if any; else from Devanagari.
+
+    spoken: the text whose words the pattern is inferred from, if it isn't the Roman line (repeated lines add words).
+    """
+    found = infer(text.words(F.coalesce(iast if spoken is None else spoken, F.lit(""))))
     choose = lambda x: F.when(F.size(x) >= 3, x).otherwise(F.coalesce(found, F.when(F.size(x) > 0, x), dev_counts(dev)))
     return text.let(iast_counts(iast), choose)
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Accent marks (svarita twice, anudatta twice) and verse bars.
@@ -44,6 +44,11 @@ def words(c: Column) -> Column:
     return F.filter(F.transform(split_words(c), clean_word), lambda w: w != "")
 
 
+def line(df: DataFrame, name: str) -> str:
+    """The column that a verse's words are cut from: all its lines of that kind where a frame has them (dev_all), else the last."""
+    return f"{name}_all" if f"{name}_all" in df.columns else name
+
+
 def trim_ascii(c: Column) -> Column:
     return F.regexp_replace(c, r"^[ \t\n\x0B\f\r]+|[ \t\n\x0B\f\r]+$", "")
 

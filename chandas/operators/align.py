@@ -32,7 +32,7 @@ def with_spans(verses: DataFrame) -> DataFrame:
     no span; Roman words after the last Devanagari word are in none.
     """
     none = F.array().cast("array<string>")
-    v = verses.withColumns({"dev_words": F.coalesce(text.words("dev"), none), "iast_words": F.coalesce(text.words("iast"), none)})
+    v = verses.withColumns({"dev_words": F.coalesce(text.words(text.line(verses, "dev")), none), "iast_words": F.coalesce(text.words(text.line(verses, "iast")), none)})
     v = v.withColumns({
         "iast_dev": F.transform("iast_words", translit.to_dev),
         "_d": F.transform("dev_words", lambda w: F.struct(syllables.dev_count(w).alias("n"), text.normal_surface(w).alias("s"))),

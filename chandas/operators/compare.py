@@ -26,7 +26,7 @@ def features(verses: DataFrame, keys: list[str], meter: bool = True) -> DataFram
     out = units.select(*keys, "n", F.inline(both)).filter("key is not null").groupBy(*keys, "kind", "key").agg(F.sum("n").alias("value"))
     if not meter:
         return out
-    w = verses.select(*keys, F.posexplode_outer(syllables.line_weights(text.words("dev"))).alias("place", "weight")).filter("weight is not null")
+    w = verses.select(*keys, F.posexplode_outer(syllables.line_weights(text.words(text.line(verses, "dev")))).alias("place", "weight")).filter("weight is not null")
     places = w.select(*keys, F.lit("meter").alias("kind"), F.concat_ws(":", F.col("place") + 1, "weight").alias("key"))
     return out.unionByName(places.groupBy(*keys, "kind", "key").agg(F.count(F.lit(1)).alias("value")))
 
@@ -52,7 +52,7 @@ def resolve_verses(hymns: DataFrame, verses: DataFrame, references: list[tuple[i
     first = W.partitionBy("sel_ord").orderBy("verse_ord")
     got = verses.join(F.broadcast(sel), ["hymn_index", "verse_number"])  # as many rows as references were typed
     got = got.withColumn("_n", F.row_number().over(first)).filter("_n = 1").join(hymns.select("hymn_index", "export_base"), "hymn_index", "left")
-    return got.select("sel_ord", "hymn_index", "export_base", "verse_ord", "verse_number", "dev")
+    return got.select("sel_ord", "hymn_index", "export_base", "verse_ord", "verse_number", "dev", *[c for c in ("dev_all",) if c in verses.columns])
 
 
 def compare_verses(selected: DataFrame) -> DataFrame:

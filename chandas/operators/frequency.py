@@ -18,7 +18,7 @@ UNCOUNTED = ("|", "॥")
 
 def unit_counts(verses: DataFrame, keys: list[str]) -> DataFrame:
     """keys, unit (a letter with its accent marks), n: the one exploded pass that all frequencies come from."""
-    units = F.flatten(F.transform(text.words("dev"), P.marked_units))
+    units = F.flatten(F.transform(text.words(text.line(verses, "dev")), P.marked_units))
     # outer: an inner explode would first work the array out once more to drop empty ones
     return verses.select(*keys, F.explode_outer(units).alias("unit")).filter("unit is not null").groupBy(*keys, "unit").agg(F.count(F.lit(1)).alias("n"))
 
@@ -58,17 +58,17 @@ def line_values(dev: Column) -> Column:
 
 def ngram_frequency(verses: DataFrame, keys: list[str], n: int) -> DataFrame:
     """Letter n-grams of each verse, across word boundaries."""
-    grams = text.ngrams(line_values(F.col("dev")), n)
+    grams = text.ngrams(line_values(F.col(text.line(verses, "dev"))), n)
     return verses.select(*keys, F.explode_outer(grams).alias("ngram")).filter("ngram is not null").groupBy(*keys, "ngram").agg(F.count(F.lit(1)).alias("n"))
 
 
 def class_sequence(verses: DataFrame, keys: list[str]) -> DataFrame:
     """Consonant class symbols of each verse, in order."""
-    return verses.select(*keys, F.array_join(P.class_symbols(line_values(F.col("dev"))), "").alias("sequence"))
+    return verses.select(*keys, F.array_join(P.class_symbols(line_values(F.col(text.line(verses, "dev")))), "").alias("sequence"))
 
 
 def words_with_class(verses: DataFrame, keys: list[str], cls: str) -> DataFrame:
     """Words with at least one letter of a class, in order; class None stands for vowels and others."""
     wanted = ["Vowel", "Other"] if cls == "None" else [cls]
-    w = verses.select(*keys, F.posexplode(text.words("dev")).alias("word_ord", "word"))
+    w = verses.select(*keys, F.posexplode(text.words(text.line(verses, "dev"))).alias("word_ord", "word"))
     return w.filter(F.exists(P.dev_values(F.col("word")), lambda x: P.phoneme_class(x).isin(*wanted)))

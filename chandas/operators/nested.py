@@ -15,15 +15,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from chandas.common import cut
+
 BLANKS = " \t\r\n\x0b\x0c ​﻿  　"
 
 
+def _refuse(name: str):
+    raise ValueError(name)
+
+
 def parse(payload: str | None):
-    """The record, or None where it isn't a valid JSON object. Surrounding blanks and byte-order marks don't matter."""
+    """The record, or None where it isn't a valid JSON object (NaN and Infinity are none). Surrounding blanks and byte-order marks don't matter."""
     if payload is None:
         return None
     try:
-        got = json.loads(payload.strip(BLANKS))
+        got = json.loads(payload.strip(BLANKS), parse_constant=_refuse)
     except (ValueError, RecursionError):
         return None
     return got if isinstance(got, dict) else None
@@ -259,12 +265,20 @@ def explode_all(records: DataFrame, schema: Schema, nodes: list[str] | None = No
     return records.select(F.col("record_id").cast("long").alias("record_id"), "payload").filter("payload is not null").mapInArrow(run, KEYS if keys_only else ROWS)
 
 
-def flatten(records: DataFrame, maps: tuple[str, ...] = ()) -> dict[str, DataFrame]:
-    """All related tables by path ('' is the records): keys, parent's key, place, and typed columns of the merged schema."""
+def flatten(records: DataFrame, maps: tuple[str, ...] = (), nodes: list[str] | None = None) -> dict[str, DataFrame]:
+    """Related tables by path ('' is the records): keys, parent's key, place, and typed columns of the merged schema.
+
+    nodes: the tables wanted, all if None. Records are walked once for all of them: the rows of several tables are
+    checkpointed together, those of a single one are read as they come.
+    """
     schema = Schema(infer(records, maps), maps)
+    wanted = ["", *schema.tables()] if nodes is None else nodes
+    rows_of = explode_all(records, schema, wanted)
+    if len(wanted) > 1:
+        rows_of = cut(rows_of)
     out = {}
-    for node in ["", *schema.tables()]:
-        rows = explode_all(records, schema, [node])
+    for node in wanted:
+        rows = rows_of.filter(F.col("node") == node)
         fields = schema.columns(node)
         if node in schema.maps:
             fields = {"value": next((t for p, t in schema.types.items() if schema.flat(p) == node + "{}"), "string")}

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from chandas.functions import phonology as P
 from chandas.functions import syllables, text
 
-from . import align
+from . import align, frequency
 
 
 def _letter(value, has_swara, swara_type):
@@ -92,7 +92,7 @@ def letter_rows(hymns: DataFrame, verses: DataFrame) -> DataFrame:
 
 
 def verse_documents(verses: DataFrame) -> DataFrame:
-    """hymn_index, verse_ord, document: each verse as a nested struct in the JSON export's shape."""
+    """hymn_index, verse_ord, document: each verse as a nested struct in the JSON export's shape. Verses without words or boundaries have empty arrays."""
     keys = ["hymn_index", "verse_ord"]
     w = nested_words(verses, keys)
     word = F.struct(
@@ -108,15 +108,18 @@ def verse_documents(verses: DataFrame) -> DataFrame:
     }
     b = align.boundaries(verses, keys).select(*keys, F.struct(*[F.col(k).alias(v) for k, v in camel.items()]).alias("b"))
     by_boundary = b.groupBy(*keys).agg(F.array_sort(F.collect_list("b"), lambda x, y: x["leftUnderlyingWordIndex"] - y["leftUnderlyingWordIndex"]).alias("sandhi"))
-    count = lambda kept: F.map_from_entries(F.transform(F.array_sort(F.array_distinct(kept)), lambda k: F.struct(k, F.size(F.filter(kept, lambda x: x == k)))))
-    counted = lambda values, keep: text.let(F.filter(values, keep), count)
-    units = F.flatten(F.transform(text.words("dev"), P.marked_units))
-    v = verses.withColumn("_u", units).withColumn("_l", F.transform("_u", lambda u: F.substring(u, 1, 1)))
+    none = F.array().cast("array<string>")
+    entry = F.struct("feat_key", "feat_value")
+    counted = lambda kind: F.map_from_entries(F.array_sort(F.collect_list(F.when(F.col("feat_type") == kind, entry))))
+    by_count = frequency.analysis_rows(verses, keys).groupBy(*keys).agg(counted("Letter").alias("_letters"), counted("Swara").alias("_swaras"), counted("PhonemeClass").alias("_classes"))
+    empty = F.create_map().cast("map<string,bigint>")
     analysis = F.struct(
-        counted(F.col("_l"), lambda x: ~x.isin("|", "॥")).alias("letterFrequency"), counted(F.transform("_u", P.swara_of_unit), lambda x: F.lit(True)).alias("swaraFrequency"),
-        counted(F.transform("_l", P.phoneme_class), lambda x: x != "Other").alias("phonemeClassFrequency"), syllables.line_weights(text.words("dev")).alias("meterPattern"),
+        F.coalesce("_letters", empty).alias("letterFrequency"), F.coalesce("_swaras", empty).alias("swaraFrequency"), F.coalesce("_classes", empty).alias("phonemeClassFrequency"),
+        F.coalesce(syllables.line_weights(text.words(text.line(verses, "dev"))), none).alias("meterPattern"),
     )
-    iast_words = F.transform(text.words("iast"), lambda w_: F.struct(w_.alias("text"), F.transform(P.iast_units(w_), _iast).alias("letters"), F.transform(syllables.iast_syllables(w_), lambda s: _syllable(s, _iast, F.array().cast("array<string>"))).alias("iastSyllables")))
-    out = v.select(*keys, "verse_number", "meter", "dev", "iast", "eng", analysis.alias("analysis"), iast_words.alias("iastWords")).join(by_word, keys, "left").join(by_boundary, keys, "left")
-    doc = F.struct(F.col("verse_number").alias("verseNumber"), "meter", "dev", "iast", "eng", "devWords", "iastWords", "sandhi", "analysis")
+    iast_words = F.transform(F.coalesce(text.words(text.line(verses, "iast")), none), lambda w_: F.struct(w_.alias("text"), F.transform(P.iast_units(w_), _iast).alias("letters"), F.transform(syllables.iast_syllables(w_), lambda s: _syllable(s, _iast, F.array().cast("array<string>"))).alias("iastSyllables")))
+    v = verses.join(by_count, keys, "left").select(*keys, "verse_number", "meter", "dev", "iast", "eng", analysis.alias("analysis"), iast_words.alias("iastWords"))
+    out = v.join(by_word, keys, "left").join(by_boundary, keys, "left")
+    filled = lambda c: F.coalesce(F.col(c), F.array().cast(out.schema[c].dataType)).alias(c)
+    doc = F.struct(F.col("verse_number").alias("verseNumber"), "meter", "dev", "iast", "eng", filled("devWords"), "iastWords", filled("sandhi"), "analysis")
     return out.select(*keys, doc.alias("document"))

@@ -15,15 +15,15 @@ def verse_lines(verses: DataFrame) -> DataFrame:
     """hymn_index, verse_ord, verse_number, pada_counts, meter, dev_syllables, iast_syllables. verses: these keys, dev, iast."""
     total = lambda line, n: F.coalesce(F.aggregate(text.words(line), F.lit(0), lambda a, w: a + n(w)), F.lit(0)).cast("long")
     v = verses.select(
-        "hymn_index", "verse_ord", "verse_number", meter.pada_counts(F.col("dev"), F.col("iast")).alias("_c"),
-        total("dev", syllables.dev_count).alias("dev_syllables"), total("iast", syllables.iast_count).alias("iast_syllables"),
+        "hymn_index", "verse_ord", "verse_number", meter.pada_counts(F.col("dev"), F.col("iast"), F.col(text.line(verses, "iast"))).alias("_c"),
+        total(text.line(verses, "dev"), syllables.dev_count).alias("dev_syllables"), total(text.line(verses, "iast"), syllables.iast_count).alias("iast_syllables"),
     )
     return v.select("hymn_index", "verse_ord", "verse_number", meter.format_counts(F.col("_c")).alias("pada_counts"), meter.detect(F.col("_c")).alias("meter"), "dev_syllables", "iast_syllables")
 
 
 def word_letters(verses: DataFrame, keys: list[str]) -> DataFrame:
     """keys, word_ord, letter_ord, value, has_swara, swara_type, phoneme_class, vowel_length: each letter of each Devanagari word."""
-    w = verses.select(*keys, F.posexplode(text.words("dev")).alias("word_ord", "word"))
+    w = verses.select(*keys, F.posexplode(text.words(text.line(verses, "dev"))).alias("word_ord", "word"))
     x = w.select(*keys, "word_ord", F.posexplode_outer(P.dev_letters(F.col("word"))).alias("letter_ord", "x")).filter("x is not null").select(*keys, "word_ord", "letter_ord", "x.*")
     return x.withColumns({"phoneme_class": P.phoneme_class(F.col("value")), "vowel_length": P.vowel_length(F.col("value"))})
 

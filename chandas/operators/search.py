@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from chandas.functions import phonology as P
-from chandas.functions import syllables, text
+from chandas.functions import text
 
 from . import align
 
@@ -97,7 +97,7 @@ def word_frame(verses: DataFrame, keys: list[str], aligned: bool = True) -> Data
         w = align.aligned_words(verses, keys)
         surface = F.coalesce(F.nullif("underlying_dev_text", F.lit("")), "text")
         return w.select(*keys, "word_ord", "text", surface.alias("surface"), F.col("aligned_iast_underlying").alias("roman"), "iast_word")
-    w = verses.select(*keys, text.words("iast").alias("_i"), F.posexplode(text.words("dev")).alias("word_ord", "text"))
+    w = verses.select(*keys, text.words(text.line(verses, "iast")).alias("_i"), F.posexplode(text.words(text.line(verses, "dev"))).alias("word_ord", "text"))
     return w.select(*keys, "word_ord", "text", F.col("text").alias("surface"), F.lit("").alias("roman"), F.try_element_at("_i", F.col("word_ord") + 1).alias("iast_word"))
 
 
@@ -185,10 +185,3 @@ def describe(r: Request) -> str:
         "verse": "verse text contains", "word": "word contains", "prefix": "word begins with", "suffix": "word ends with", "regex": "vowel/span regex", "class": "phoneme class", "manner": "manner",
     }
     return f"consonant cluster length >= {r.number}" if r.kind == "cluster" else f'{named[r.kind]} "{r.value}"'
-
-
-def syllable_total(verses: DataFrame, keys: list[str]) -> DataFrame:
-    """Syllables of each verse's Roman line and Devanagari words."""
-    dev = F.aggregate(text.words("dev"), F.lit(0), lambda a, w: a + syllables.dev_count(w))
-    iast = F.aggregate(text.words("iast"), F.lit(0), lambda a, w: a + syllables.iast_count(w))
-    return verses.select(*keys, dev.alias("dev_syllables"), iast.alias("iast_syllables"))

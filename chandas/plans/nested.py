@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chandas.common import table
+from chandas.common import latest, table
 from chandas.operators import nested
 
 MAPS = ("analysis.letterFrequency", "analysis.swaraFrequency", "analysis.phonemeClassFrequency")
@@ -26,7 +26,7 @@ def p5_found(spark: SparkSession, sf: str) -> DataFrame:
 
 def _node(path: str):
     def run(spark: SparkSession, sf: str) -> DataFrame:
-        return nested.flatten(records(spark, sf).dropDuplicates(["record_id"]), MAPS)[path]
+        return nested.flatten(latest(table(spark, sf, "verse_json"), ["record_id"], ["received_at"], ["payload"]), MAPS, [path])[path]
 
     return run
 

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from chandas.functions import meter
-from chandas.operators import align, compare, frequency, nesting, search
+from chandas.operators import align, compare, frequency, nesting, report, search
 
 from . import sinks, tagged
 
@@ -31,15 +31,36 @@ class Session:
         self.loaded: list[tuple[str, str]] = []  # path, export name
         self.used: set[str] = set()  # names stay taken after removal
 
+    def _system(self, path: str):
+        """The file system of a path, any that the cluster's executors can read, and the path in it."""
+        where = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return where.getFileSystem(self.spark._jsc.hadoopConfiguration()), where
+
+    def _full(self, path: str) -> str:
+        """The path with its scheme, as files read by the executors have it."""
+        system, where = self._system(path)
+        return system.makeQualified(where).toUri().getPath()
+
     def available(self) -> list[str]:
         """Names of the folder's text files, sorted by bytes."""
-        if not os.path.isdir(self.folder):
+        system, where = self._system(self.folder)
+        if not system.exists(where):
             return []
-        return sorted((n for n in os.listdir(self.folder) if n.lower().endswith(".txt") and os.path.isfile(os.path.join(self.folder, n))), key=lambda n: n.encode())
+        names = [f.getPath().getName() for f in system.listStatus(where) if f.isFile()]
+        return sorted((n for n in names if n.lower().endswith(".txt")), key=lambda n: n.encode())
+
+    def listing(self) -> str:
+        """The numbered list of the folder's files (fixed wording)."""
+        names = self.available()
+        return "\n".join(["Available hymn files in /Hymns:", *[f"  [{i}] {n}" for i, n in enumerate(names, 1)]]) if names else ""
 
     def path(self, name: str) -> str:
         return name if os.path.dirname(name) else os.path.join(self.folder, name)
 
+    def exists(self, choice: str) -> bool:
+        system, where = self._system(self.path(resolve(self.available(), choice)))
+        return bool(choice.strip()) and system.exists(where)
+
     def add(self, *choices: str) -> None:
         for c in choices:
             path = self.path(resolve(self.available(), c))
@@ -62,10 +83,11 @@ class Session:
         return True
 
     def _parsed(self) -> DataFrame:
-        places = self.spark.createDataFrame([(i + 1, os.path.abspath(p), n) for i, (p, n) in enumerate(self.loaded)], "hymn_index int, source_path string, export_base string")
-        paths = sorted({os.path.abspath(p) for p, _ in self.loaded})
-        files = self.spark.read.text(paths, wholetext=True).select(F.url_decode(F.regexp_replace("_metadata.file_path", "^file:/+", "/")).alias("source_path"), F.col("value").alias("text"))
-        return places.join(files, "source_path", "left")
+        kinds = "hymn_index int, source_path string, export_base string"
+        if not self.loaded:
+            return self.spark.createDataFrame([], kinds + ", text string")
+        places = self.spark.createDataFrame([(i + 1, self._full(p), n) for i, (p, n) in enumerate(self.loaded)], kinds)
+        return places.join(tagged.read_files(self.spark, sorted({p for p, _ in self.loaded})), "source_path", "left")
 
     def hymns(self) -> DataFrame:
         p = self._parsed()
@@ -73,7 +95,7 @@ class Session:
 
     def verses(self) -> DataFrame:
         v = tagged.verses(tagged.lines(self._parsed(), "hymn_index"), "hymn_index")
-        return v.withColumn("meter", meter.detect(meter.pada_counts(F.col("dev"), F.col("iast"))))
+        return v.withColumn("meter", meter.detect(meter.pada_counts(F.col("dev"), F.col("iast"), F.col("iast_all"))))
 
     def summary(self) -> DataFrame:
         """index, name, path, verses of every hymn, those without verses too."""
@@ -81,12 +103,13 @@ class Session:
         return self.hymns().select("hymn_index", "export_base", "source_path").join(n, "hymn_index", "left").na.fill(0, ["verses"]).orderBy("hymn_index")
 
     def describe(self) -> dict[str, DataFrame]:
-        """The detail report as frames: verses with pada counts and syllables, aligned words, and frequencies of verses and hymns."""
+        """The detail report as frames: verses, aligned words, letters, syllables of both scripts side by side, and frequencies of verses and hymns."""
         v, keys = self.verses(), ["hymn_index", "verse_ord"]
-        counts = meter.format_counts(meter.pada_counts(F.col("dev"), F.col("iast")))
         return {
-            "verses": v.withColumn("pada_counts", counts).join(search.syllable_total(v, keys), keys),
+            "verses": v.join(report.verse_lines(v).drop("verse_number", "meter"), keys),
             "words": align.aligned_words(v, keys),
+            "letters": report.word_letters(v, keys),
+            "syllable_pairs": report.syllable_pairs(v, keys),
             "verse_frequency": frequency.analysis_rows(v, keys),
             "hymn_frequency": frequency.analysis_rows(v, ["hymn_index"]),
         }
@@ -95,7 +118,8 @@ class Session:
         r = search.parse(query)
         if r is None:
             return search.help_text()
-        return search.search(self.verses(), r, ["hymn_index", "verse_ord", "verse_number"], mode).orderBy("hymn_index", "verse_ord", "word_ord")
+        v = self.verses().join(self.hymns().select("hymn_index", "export_base"), "hymn_index", "left")
+        return search.bad_pattern(v, r, mode) or search.search(v, r, ["hymn_index", "export_base", "verse_ord", "verse_number"], mode).orderBy("hymn_index", "verse_ord", "word_ord")
 
     def coverage(self, query: str) -> DataFrame | str:
         found = self.search(query)

@@ -47,12 +47,19 @@ def write_partitioned(df: DataFrame, path: str, by: str, fmt: str = "parquet") -
     df.repartition(F.col(by)).write.mode("overwrite").partitionBy(by).format(fmt).save(path)
 
 
-LETTER = "struct<value:string,hasSwara:boolean,swaraType:string>"
+LETTER = "struct<value:string,hasSwara:boolean,swaraType:string,phonemeClass:string,vowelLength:string>"
 SYLLABLE = f"struct<onset:array<{LETTER}>,nucleus:{LETTER},coda:array<{LETTER}>,weight:string,swaras:array<string>>"
-VERSE = "struct<verseNumber:int,meter:string,dev:string,iast:string,eng:string>"
+WORD = f"struct<text:string,alignedIAST:string,alignedIASTUnderlying:string,underlyingDevText:string,letters:array<{LETTER}>,devSyllables:array<{SYLLABLE}>,alignment:array<struct<dev:{SYLLABLE},iast:{SYLLABLE}>>>"
+ROMAN = f"struct<text:string,letters:array<{LETTER}>,iastSyllables:array<{SYLLABLE}>>"
+VERSE = f"struct<verseNumber:int,meter:string,dev:string,iast:string,eng:string,devWords:array<{WORD}>,iastWords:array<{ROMAN}>>"
 HYMN = f"mandala int, sukta int, rishis array<string>, devatas array<string>, categories array<string>, verses array<{VERSE}>"
 
 
 def read_json(df: DataFrame, column: str = "json") -> DataFrame:
-    """Hymns back from their documents: metadata and verses' lines (words are cut again from the lines). Bad documents give null fields."""
+    """Hymns back from their documents: metadata and verses with their words, letters and syllables. Bad documents give null fields."""
     return df.withColumn("_h", F.from_json(column, HYMN)).select(*[c for c in df.columns if c != column], "_h.*")
+
+
+def read_verse_json(df: DataFrame, column: str = "json") -> DataFrame:
+    """Verses back from their documents, with words, letters and syllables. Bad documents give null fields."""
+    return df.withColumn("_v", F.from_json(column, VERSE)).select(*[c for c in df.columns if c != column], "_v.*")

@@ -9,10 +9,10 @@ from pyspark.sql import functions as F
 ILLEGAL = '<>:"/\\|?*'
 
 
-def read_files(spark: SparkSession, folder: str) -> DataFrame:
-    """source_path, text of a folder's *.txt files (extension without case)."""
-    files = spark.read.text(folder, wholetext=True, pathGlobFilter="*.[tT][xX][tT]")
-    return files.select(F.regexp_replace(F.col("_metadata.file_path"), "^file:/+", "/").alias("source_path"), F.col("value").alias("text"))
+def read_files(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+    """source_path (without scheme and host), text of *.txt files (extension without case), given by themselves or by folder, on any file system."""
+    files = spark.read.text(paths, wholetext=True, pathGlobFilter="*.[tT][xX][tT]")
+    return files.select(F.url_decode(F.regexp_replace("_metadata.file_path", "^[a-zA-Z0-9+.-]+:(//[^/]*)?/+", "/")).alias("source_path"), F.col("value").alias("text"))
 
 
 def export_base(path):

@@ -18,7 +18,7 @@ def file_stream(spark: SparkSession, folder: str) -> DataFrame:
 
 def parse_batch(files: DataFrame) -> DataFrame:
     v = tagged.verses(tagged.lines(files, "source_path"), "source_path")
-    return v.withColumn("meter", meter.detect(meter.pada_counts(F.col("dev"), F.col("iast"))))
+    return v.withColumn("meter", meter.detect(meter.pada_counts(F.col("dev"), F.col("iast"), F.col("iast_all"))))
 
 
 def start(spark: SparkSession, folder: str, out: str, checkpoint: str, available_now: bool = True):

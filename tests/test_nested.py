@@ -16,6 +16,7 @@ def test_levels_and_bare_objects(spark):
         (1, json.dumps({"w": [{"t": "x", "n": [{"v": 1}, {"v": "2"}]}, {"t": None, "n": {"v": 3}}, None], "a": {"freq": {"k": 1, "": "2"}}})),
         (2, "﻿ " + json.dumps({"w": {"t": "y", "n": []}, "a": None, "new": [1, 2]}) + "\n"),
         (3, '{"w": [{"t"'), (4, None), (5, ""), (6, "[]"), (7, "{}"), (8, json.dumps({"w": [], "a": {}})),
+        (9, '{"w": [NaN]}'), (10, '{"w": [{"t": -Infinity}]}'),
     ]
     out = nested.flatten(frame(spark, rows), MAPS)
     assert set(out) == {"", "w", "w.n", "a.freq", "new"}

@@ -6,7 +6,8 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from chandas.sources import catalog, tagged
+from chandas.operators import nesting, search
+from chandas.sources import catalog, console, sinks, tagged
 from chandas.streaming import ingest
 
 from .fixtures import VERSES
@@ -40,7 +41,7 @@ def test_catalog(session):
 
 def test_search_and_compare(session):
     assert session.search("find words containing .").startswith("Could not understand the search request.\nExamples:")
-    assert session.search("find all verses containing INDRA").count() == 11
+    assert session.search("find all verses containing INDRA").count() == 11 and session.search("find vowel span patterns (a") == search.BAD_PATTERN
     assert session.search("indra").count() == 0  # Roman text of words isn't searched in this mode
     assert session.search("find words beginning with अग्नि").count() >= 4
     c = {r.hymn_index: r for r in session.coverage("phoneme class velar").collect()}
@@ -58,6 +59,10 @@ def test_describe(session):
     assert d["words"].filter("hymn_index = 1 and verse_ord = 0").count() == 7
     total = {r.feat_key: r.feat_value for r in d["hymn_frequency"].filter("hymn_index = 2 and feat_type = 'Swara'").collect()}
     assert set(total) == {"udatta"}
+    letters = d["letters"].filter("hymn_index = 1 and verse_ord = 0 and word_ord = 0").orderBy("letter_ord").collect()
+    assert [(r.value, r.phoneme_class, r.vowel_length) for r in letters[:3]] == [("अ", "Vowel", "Short"), ("ग", "Velar", "None"), ("्", "Other", "None")]
+    pairs = d["syllable_pairs"].filter("hymn_index = 1 and verse_ord = 0 and word_ord = 0").orderBy("syllable_ord").collect()
+    assert [(p.dev, p.iast) for p in pairs] == [("अगनमळ", "a")]
 
 
 def test_export(session, tmp_path):
@@ -73,6 +78,59 @@ def test_export(session, tmp_path):
     assert [v["verseNumber"] for v in doc["verses"]] == [1, 2, 3] and doc["verses"][0]["devWords"][0]["text"] == "अहं"
 
 
+def test_repeated_lines_add_words(spark, tmp_path):
+    (tmp_path / "two.txt").write_text("[Verse 1]\nDEV: क ख\nDEV: ग\nIAST: ka kha\nIAST: ga\n", encoding="utf-8")
+    s = catalog.Session(spark, str(tmp_path))
+    s.add("two.txt")
+    d = s.describe()
+    assert [r.text for r in d["words"].orderBy("word_ord").collect()] == ["क", "ख", "ग"] and d["verses"].first().dev == " ग"
+    total = {r.feat_key: r.feat_value for r in d["hymn_frequency"].filter("feat_type = 'Letter'").collect()}
+    assert total == {"क": 1, "ख": 1, "ग": 1} and s.search("find words containing ख").count() == 1
+    doc = s.tables()["json"].first().document
+    assert [w.text for w in doc.devWords] == ["क", "ख", "ग"] and doc.sandhi == [] and doc.analysis.letterFrequency == total
+
+
+def test_documents_without_words_and_reading_back(spark):
+    v = spark.createDataFrame([(1, 0, 1, None, " ", None, None), (1, 1, 2, None, "क ख", "ka kha", "e")], "hymn_index int, verse_ord int, verse_number int, meter string, dev string, iast string, eng string")
+    j = nesting.verse_documents(v).select("verse_ord", F.to_json("document").alias("json"))
+    rows = {r.verse_ord: r.json for r in j.collect()}
+    empty = json.loads(rows[0])
+    assert empty["devWords"] == [] and empty["sandhi"] == [] and empty["iastWords"] == [] and empty["analysis"] == {"letterFrequency": {}, "swaraFrequency": {}, "phonemeClassFrequency": {}, "meterPattern": []}
+    back = {r.verse_ord: r for r in sinks.read_verse_json(j.unionByName(spark.createDataFrame([(9, "{")], j.schema))).collect()}
+    w = back[1].devWords[0]
+    assert (w.text, w.alignedIAST, w.letters[0].value, w.letters[0].phonemeClass) == ("क", "ka", "क", "Velar") and w.devSyllables[0].nucleus.value == "क" and w.alignment[0].iast.nucleus.value == "a"
+    assert back[1].iastWords[1].text == "kha" and back[0].devWords == [] and back[9].devWords is None
+
+
+def typed(lines):
+    said, queue = [], list(lines)
+    return said, lambda prompt: queue.pop(0) if queue else None, said.append
+
+
+def test_console(spark, folder, tmp_path, monkeypatch):
+    exported = []
+    monkeypatch.setattr(catalog.Session, "export", lambda self, i, out: exported.append((i, out)))
+    monkeypatch.setattr(catalog.Session, "compare_hymns", lambda self, refs: f"hymns {refs}")
+    lines = ["1", "nothing.txt", "", "1", "9", "1", "4", "back", "4", "अग्नि", "1", "6", "(a", "2", "1", "help", "1:1", "2", "2", "1,2", "2", "3", "7", "4", "4", "2", "5", "1,7", "5", "2", "6", "7"]
+    said, ask, say = typed(lines)
+    s = catalog.Session(spark, str(folder))
+    assert console.Console(s, ask, say).run("out") == 0
+    text = "\n".join(said)
+    assert said[0] == "Available hymn files in /Hymns:\n  [1] Hymn 1.1.txt\n  [2] Hymn 10.125.txt\n  [3] empty.TXT"
+    assert 'Search results for word begins with "अग्नि"\nSummary by hymn:\n  [1] Hymn 1.1 matches=' in text and "Invalid selection." in said and said[-1] == "Session terminated."
+    assert "Detailed matches:\n  [1] Hymn 1.1 Verse 1 DEV=" in text and search.BAD_PATTERN in said and "Select at least two verses." in said and "hymns 1,2" in said
+    assert 'Comparison of query across loaded hymns: phoneme class "Retroflex"' in text and "Matched verse references:" in text and "Invalid hymn selection." in said
+    assert [n for _, n in s.loaded] == ["Hymn 1.1"] and exported == [(1, "out"), (2, "out")] and search.NOT_UNDERSTOOD in text
+
+
+def test_console_ends(spark, folder, monkeypatch):
+    monkeypatch.setattr(catalog.Session, "export", lambda self, i, out: None)
+    for lines, code in ((["0"], 1), (["x"], 1), ([], 0)):
+        said, ask, say = typed(lines)
+        assert console.Console(catalog.Session(spark, str(folder)), ask, say).run() == code
+    assert catalog.Session(spark, str(folder / "none")).available() == [] and catalog.Session(spark, str(folder)).summary().count() == 0
+
+
 def test_parse_edges(spark):
     body = "DEV: a\n[Verse 0]\nIAST: b\n[Verse 2]\nDEV: c\nDEV: d\n[Verse 3]\nENG: x Rishis: y\n"
     p = tagged.lines(spark.createDataFrame([("k", body), ("n", None), ("e", "")], "k string, text string"), "k")

@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 
 from chandas.common import cut, shuffle_partitions
 
-#: Rows the centroids are fitted on, at most; clusters are as many as the square root of the rows, within limits.
-FIT_ROWS, FIT_STEPS, LEAST_CENTROIDS, MOST_CENTROIDS = 16_384, 8, 8, 1024
+#: Rows the centroids are fitted on, at most and for each; clusters are as many as blocks could be filled, within limits.
+FIT_ROWS, FIT_EACH, FIT_STEPS, LEAST_CENTROIDS, MOST_CENTROIDS = 16_384, 64, 8, 8, 1024
 #: Vectors of a packed block, of index and of queries; blocks of a cluster that one task searches.
 BLOCK, SHARE = 4096, 64
 #: Multiple of the error's standard deviation; 4 leaves out a true neighbour about once in 30,000. None: no estimate, exact.
@@ -59,7 +59,9 @@ def fit(vectors: DataFrame, rows: int):
     """Centroids of a bounded sample, by hash of the id: at most FIT_ROWS rows come to the driver. rows: how many there are."""
     import numpy as np
 
-    got = vectors.filter("id is not null and vec is not null").orderBy(F.xxhash64("id"), "id").select("vec").limit(FIT_ROWS).toPandas()["vec"]
+    many = min(MOST_CENTROIDS, max(LEAST_CENTROIDS, rows // BLOCK))
+    some = vectors.filter("id is not null and vec is not null").orderBy(F.xxhash64("id"), "id").select("vec")
+    got = some.limit(min(FIT_ROWS, many * FIT_EACH)).toPandas()["vec"]
     if not len(got):
         return np.zeros((1, 1))
     m, norm = _unit(np.array([np.asarray(v, float) for v in got]))
@@ -67,8 +69,7 @@ def fit(vectors: DataFrame, rows: int):
     if not len(m):
         return np.zeros((1, len(got.iloc[0])))
     rng = np.random.default_rng(SEED)
-    many = min(len(m), MOST_CENTROIDS, max(LEAST_CENTROIDS, int(rows**0.5)))
-    c = m[rng.choice(len(m), many, replace=False)]
+    c = m[rng.choice(len(m), min(len(m), many), replace=False)]
     for _ in range(FIT_STEPS):
         near = np.argmax(m @ c.T - (c * c).sum(1) / 2, 1)
         total = np.zeros_like(c)
@@ -85,7 +86,7 @@ def _nearest_centroid(unit, centroids):
 
 
 def _angles(unit, centroids):
-    """Angle of each vector to each centroid; a centroid without direction is at no known angle (pi / 2 is written, see _reach)."""
+    """Angle of each vector to each centroid; of one without direction pi / 2, which a radius of pi makes no limit."""
     import numpy as np
 
     c, _ = _unit(centroids)
@@ -240,11 +241,11 @@ class _Best:
 class _Block:
     """A packed block of the index, opened."""
 
-    def __init__(self, centroid, turn, n, ids, codes, scalars, vecs):
+    def __init__(self, centroid, turn, n, radius, ids, codes, scalars, vecs):
         import numpy as np
 
         d, dim = turn.shape
-        self.center, self.turn, self.d = centroid, turn, d
+        self.center, self.turn, self.radius = centroid, turn, radius
         self.ids, self.unit = np.frombuffer(ids, np.int64), _unit(np.frombuffer(vecs, np.float64).reshape(n, dim))[0]
         scalars = np.frombuffer(scalars, np.float32).reshape(n, 3)
         # +-1 codes from the packed bits; their inner product with a rotated query is the estimate's core
@@ -254,13 +255,13 @@ class _Block:
         self.slack = scalars[:, 0] * np.sqrt(np.maximum(0, 1 - own * own)) / own / np.float32(np.sqrt(d - 1))
         self.shift = scalars[:, 2]
 
-    def candidates(self, best: _Best, a: int, z: int, epsilon: float | None):
-        """(query row, place) pairs of queries a..z whose cosine may reach the query's bar."""
+    def candidates(self, best: _Best, rows, epsilon: float | None):
+        """(query row, place) pairs of some queries whose cosine may reach the query's bar."""
         import numpy as np
 
         if epsilon is None:
-            return (x.ravel() for x in np.meshgrid(np.arange(a, z), np.arange(len(self.ids)), indexing="ij"))
-        unit = best.unit[a:z]
+            return (x.ravel() for x in np.meshgrid(rows, np.arange(len(self.ids)), indexing="ij"))
+        unit = best.unit[rows]
         rest = unit - self.center
         size = np.sqrt((rest * rest).sum(1))
         turned = (rest / np.where(size > 0, size, 1)[:, None]).astype(np.float32) @ self.turn.T
@@ -269,14 +270,17 @@ class _Block:
         upper += self.slack * np.float32(epsilon)
         upper *= size[:, None].astype(np.float32)
         upper += (unit @ self.center).astype(np.float32)[:, None] + self.shift
-        q, o = np.nonzero(upper >= (best.bar()[a:z, None] - 2e-6).astype(np.float32))
-        return q + a, o
+        q, o = np.nonzero(upper >= (best.bar()[rows, None] - 2e-6).astype(np.float32))
+        return rows[q], o
 
     def search(self, best: _Best, epsilon: float | None, rows: int = 512, pairs: int = 1 << 18) -> None:
         import numpy as np
 
-        for a in range(0, len(best.ids), rows):
-            q, o = self.candidates(best, a, min(len(best.ids), a + rows), epsilon)
+        # queries that no vector of the block, at the widest angle in it, could satisfy are left out
+        reach = np.cos(np.maximum(0, _angles(best.unit, self.center[None])[:, 0] - self.radius)) + 1e-9
+        asked = np.flatnonzero(reach >= best.bar())
+        for a in range(0, len(asked), rows):
+            q, o = self.candidates(best, asked[a : a + rows], epsilon)
             for p in range(0, len(q), pairs):
                 qq, oo = q[p : p + pairs], o[p : p + pairs]
                 cos = np.round(np.einsum("ij,ij->i", best.unit[qq], self.unit[oo]), 9)
@@ -293,9 +297,9 @@ def _search_with(centroids, k: int, epsilon: float | None):
         held: dict[bytes, _Best] = {}
         last, block, n = None, None, 0
         for b in batches:
-            for cluster, rows, ids, codes, scalars, vecs, qids, qvecs, qleast in zip(*(b.column(j).to_pylist() for j in range(9))):
+            for cluster, rows, radius, ids, codes, scalars, vecs, qids, qvecs, qleast in zip(*(b.column(j).to_pylist() for j in range(10))):
                 if ids != last:
-                    last, block = ids, _Block(centroids[cluster], turn, rows, ids, codes, scalars, vecs)
+                    last, block = ids, _Block(centroids[cluster], turn, rows, radius, ids, codes, scalars, vecs)
                 best = held.get(qids)
                 if best is None:
                     if n >= HELD_QUERIES:  # what was found so far is put out; the k best are taken among all that is
@@ -336,7 +340,7 @@ def search(index: DataFrame, queries: DataFrame, centroids, k: int, epsilon: flo
     def visited(q: DataFrame, home: bool) -> DataFrame:
         packed = q.mapInArrow(_pack_with(centroids, clusters, home), PACKED).repartition(parts, "cluster", "salt").alias("q")
         both = salted.repartition(parts, "cluster", "salt").alias("i").join(packed, ["cluster", "salt"])
-        return both.select("cluster", "n", "ids", "codes", "scalars", "vectors", "qids", "qvecs", "qleast").mapInArrow(_search_with(centroids, k, epsilon), FOUND)
+        return both.select("cluster", "n", "radius", "ids", "codes", "scalars", "vectors", "qids", "qvecs", "qleast").mapInArrow(_search_with(centroids, k, epsilon), FOUND)
 
     asked = _clean(queries)
     first = cut(_ranked(visited(asked.withColumn("least", F.lit(0.0)), True), k))

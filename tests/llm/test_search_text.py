@@ -12,24 +12,28 @@ def vectors(spark, rows):
     return spark.createDataFrame(rows, "id long, vec array<double>")
 
 
-def test_knn_equals_brute_force(spark):
+def test_knn_equals_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(knn, "LEAST_CENTROIDS", 40)
     rng = np.random.default_rng(1)
     m = rng.poisson(8, (3000, 14)).astype(float)
     m[1] = m[0]  # ties
     m[7] = 0  # no direction
     rows = [(i, [float(x) for x in v]) for i, v in enumerate(m)]
     df = vectors(spark, rows + [(None, [1.0] * 14), (9999, None)]).repartition(5)
-    got = {}
-    for r in knn.nearest(df, df.filter("id % 100 = 0"), 5).collect():
-        got.setdefault(r.query_id, []).append((r["rank"], r.neighbor_id))
+    found = {}
+    for epsilon in (knn.EPSILON, None):
+        got = found[epsilon] = {}
+        for r in knn.nearest(df, df.filter("id % 100 = 0"), 5, epsilon).collect():
+            got.setdefault(r.query_id, []).append((r["rank"], r.neighbor_id))
     unit = m / np.maximum(np.sqrt((m * m).sum(1)), 1e-9)[:, None]
     hit = total = 0
     for q in range(0, 3000, 100):
         c = np.round(unit @ unit[q], 9)
         c[q] = -1
         want = [int(i) for i in np.lexsort((np.arange(3000), -c))[:5]]
-        hit += len(set(want) & {i for _, i in got[q]})
+        hit += len(set(want) & {i for _, i in found[knn.EPSILON][q]})
         total += 5
+        assert [i for _, i in sorted(found[None][q])] == want
     assert hit / total >= 0.99
 
 
@@ -102,12 +106,25 @@ def test_span_index_grows_and_compacts(spark):
     rows = [(i, "x", "".join(rnd.choice("abcdef") for _ in range(40)) + "shared passage of more than sixty code points, held by every other row" * (i % 2)) for i in range(60)]
     df = spark.createDataFrame(rows, "id long, field string, text string")
     index, shared = spans.SpanIndex(spark), None
-    for k in range(6):
-        more = index.add(df.filter(F.col("id") % 6 == k))
+    before = {t.name for t in spark.catalog.listTables() if t.name.startswith("span_run")}
+    for k in range(20):
+        more = index.add(df.filter(F.col("id") % 20 == k))
         shared = more if shared is None else shared.unionAll(more)
-    assert len(index.runs) <= spans.FANOUT
-    assert {tuple(r) for r in index.verify(df, shared).select("field", "id", "span_from", "span_to").collect()} == brute(rows, 60)
+    assert [len(level) for level in index.levels] == [0, 1, 1]  # 20 batches: 16 in one run, 4 in another
+    assert {t.name for t in spark.catalog.listTables() if t.name.startswith("span_run")} - before == set(index.runs)
+    found = index.verify(df, shared)
     index.drop()
+    assert {tuple(r) for r in found.select("field", "id", "span_from", "span_to").collect()} == brute(rows, 60)
+    assert {t.name for t in spark.catalog.listTables() if t.name.startswith("span_run")} == before
+
+
+def test_more_fingerprints_than_a_bit_map_holds(spark, monkeypatch):
+    rnd = random.Random(7)
+    pool = ["".join(rnd.choice("abc ") for _ in range(75)) for _ in range(4)]
+    rows = [(i, "x", rnd.choice(pool) + "".join(rnd.choice("abc ") for _ in range(30))) for i in range(40)]
+    df = spark.createDataFrame(rows, "id long, field string, text string")
+    monkeypatch.setattr(spans, "MOST_BITS", 1)
+    assert {tuple(r) for r in spans.shared_spans(df).select("field", "id", "span_from", "span_to").collect()} == brute(rows, 60)
 
 
 def test_compacted_query(spark, tmp_path, monkeypatch):
@@ -117,9 +134,9 @@ def test_compacted_query(spark, tmp_path, monkeypatch):
     rows = [(i, "".join(rnd.choice("abcdef") for _ in range(40)) + "shared passage of more than sixty code points, held by every other row" * (i % 2), None) for i in range(60)]
     spark.createDataFrame(rows, "verse_id long, dev string, iast string").write.parquet(f"{tmp_path}/verses.parquet")
     merged, plain = [], spans.SpanIndex.compact
-    monkeypatch.setattr(spans.SpanIndex, "compact", lambda self: (merged.append(len(self.runs)), plain(self)))
+    monkeypatch.setattr(spans.SpanIndex, "compact", lambda self, runs: (merged.append(len(runs)), plain(self, runs))[1])
     got = {tuple(r) for r in queries.QUERIES["p3_compacted"](spark, str(tmp_path)).collect()}
-    assert merged == [spans.FANOUT + 1] and got == brute([(i, "dev", d) for i, d, _ in rows], 60)
+    assert merged == [spans.FANOUT] and got == brute([(i, "dev", d) for i, d, _ in rows], 60)
 
 
 def test_confusable_letters(spark):

@@ -17,6 +17,21 @@ _NEAR = (
 )
 P1_FOUND = f"WITH {_VECTORS}, {_NEAR.format(where='q.id IN (SELECT verse_id FROM knn_probes)')} SELECT DISTINCT least(query_id, neighbor_id) AS verse_a, greatest(query_id, neighbor_id) AS verse_b FROM r WHERE rank <= 5"
 
+P1_KNN = f"WITH {_VECTORS}, {_NEAR.format(where='q.id % 100 = 0')} SELECT query_id, neighbor_id, cosine, rank::INT AS rank FROM r WHERE rank <= 5"
+P1_EMBEDDINGS = (
+    "WITH x AS (SELECT vec_id AS id, list_transform(embedding, lambda y: y::DOUBLE) AS v FROM embeddings), n AS (SELECT id, v, sqrt(list_dot_product(v, v)) AS m FROM x), "
+    + _NEAR.format(where="q.id % 100 = 0") + " SELECT query_id, neighbor_id, rank::INT AS rank FROM r WHERE rank <= 10"
+)
+
+# p2: by what a value holds: hidden characters, odd spaces, full-width forms, letters of other alphabets, anything not
+# composed, Devanagari written in parts, signs for the visarga, accents in another order than the composed one.
+P2_FOUND = r"""
+WITH v AS (SELECT 'dev' AS field_name, verse_id AS row_id, dev AS x FROM verses UNION ALL SELECT 'iast', verse_id, iast FROM verses UNION ALL SELECT 'surface_iast', boundary_id, surface_iast FROM sandhi)
+SELECT DISTINCT field_name, row_id FROM v WHERE x IS NOT NULL AND (nfc_normalize(x) <> x OR regexp_matches(x, '[\x{AD}\x{34F}\x{200B}-\x{200F}\x{202A}-\x{202E}\x{2060}-\x{2064}\x{FEFF}\x{FE00}-\x{FE0F}]')
+  OR regexp_matches(x, '[\t-\r\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]') OR regexp_matches(x, '[\x{FF01}-\x{FF5E}]') OR regexp_matches(x, '[\p{Cyrillic}\p{Greek}\p{Armenian}ıɡɑ''`‘ʼ]')
+  OR regexp_matches(x, 'अा|अो|अौ|आे|आै|एे|ाे|ाै|ेा|ैा|ेे|ोे|र्इ|उू|ऋृ|ृृ|।।') OR regexp_matches(x, '[\x{900}-\x{97F}][:꞉：∶ː]'))
+"""
+
 # p3: all windows of all lines.
 P3_FOUND = """
 WITH t AS (SELECT DISTINCT 'dev' AS f, verse_id AS id, dev AS x FROM verses WHERE length(dev) >= 60 UNION SELECT DISTINCT 'iast', verse_id, iast FROM verses WHERE length(iast) >= 60),
@@ -26,6 +41,12 @@ o AS (SELECT *, CASE WHEN p > lag(p) OVER (PARTITION BY f, id ORDER BY p) + 60 T
 SELECT f AS field_name, id AS verse_id, min(p)::INT AS span_from, (max(p) + 60)::INT AS span_to FROM n GROUP BY f, id, k
 """
 
+P3_COVERAGE = f"""
+WITH g AS (SELECT field_name AS field, verse_id AS id, sum(span_to - span_from)::BIGINT AS shared_chars FROM ({P3_FOUND}) GROUP BY 1, 2),
+b AS (SELECT field, id, max(length(text)) AS chars FROM (SELECT 'dev' AS field, verse_id AS id, dev AS text FROM verses UNION ALL SELECT 'iast', verse_id, iast FROM verses) WHERE text IS NOT NULL AND id IS NOT NULL GROUP BY 1, 2)
+SELECT field, id, coalesce(shared_chars, 0) AS shared_chars, chars::INT AS chars, CASE WHEN chars > 0 THEN coalesce(shared_chars, 0) / chars ELSE 0.0 END AS share FROM b LEFT JOIN g USING (field, id)
+"""
+
 _TERMS = r"""
 v AS (SELECT * FROM verse_analysis WHERE verse_id IS NOT NULL QUALIFY row_number() OVER (PARTITION BY verse_id ORDER BY exported_at DESC NULLS LAST) = 1),
 l AS (SELECT 'letter' AS term_set, verse_id::VARCHAR AS r, e.key AS term, e.value::BIGINT AS n FROM (SELECT verse_id, unnest(map_entries(letter_frequency)) AS e FROM v) WHERE e.value > 0),
@@ -42,6 +63,18 @@ WITH t AS (SELECT verse_id, max(iast) AS x FROM verses WHERE verse_id IS NOT NUL
 i AS (SELECT verse_id, a, unnest(range(1, len(a) + 1)) AS p FROM w), n AS (SELECT verse_id, a, p, unnest(range(1, least(3, len(a) - p + 1) + 1)) AS k FROM i)
 SELECT array_to_string(a[p:p + k - 1], ' ') AS ngram, count(*) AS cf, count(DISTINCT verse_id) AS df FROM n GROUP BY 1
 """
+# p6: all runs of 10 words. Of the compatibility forms the texts hold full-width ones, no-break spaces and sharp s.
+_NORMAL = r"""list_filter(regexp_split_to_array(replace(lower(nfc_normalize(translate(regexp_replace({c}, '[\x{{AD}}\x{{200B}}-\x{{200F}}\x{{2060}}\x{{FEFF}}\x{{951}}\x{{952}}\x{{30D}}\x{{331}}]', '', 'g'),
+'ＡＢＣＤＥＦＧＨＩＪＫＬＭＮＯＰＱＲＳＴＵＶＷＸＹＺａｂｃｄｅｆｇｈｉｊｋｌｍｎｏｐｑｒｓｔｕｖｗｘｙｚ０１２３４５６７８９．，；：！？（）', 'ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789.,;:!?()'))), 'ß', 'ss'),
+'[\s\x{{A0}}!-/:-@\[-`{{-~।॥‘’‚“”„«»‹›\x{{2010}}-\x{{2015}}…\x{{2000}}-\x{{200A}}\x{{2028}}\x{{2029}}\x{{202F}}\x{{205F}}\x{{3000}}]+'), lambda w: w <> '')"""
+_LEAKS = f"""
+d AS (SELECT doc_id, {_NORMAL.format(c='text')} AS w FROM documents WHERE text IS NOT NULL), i AS (SELECT item_id, {_NORMAL.format(c='item_text')} AS w FROM eval_items WHERE item_text IS NOT NULL),
+dg AS (SELECT doc_id, len(w) AS n, p, array_to_string(w[p:p + 9], ' ') AS g FROM (SELECT *, unnest(range(1, len(w) - 8)) AS p FROM d)), ig AS (SELECT DISTINCT item_id, array_to_string(w[p:p + 9], ' ') AS g FROM (SELECT *, unnest(range(1, len(w) - 8)) AS p FROM i)),
+m AS (SELECT DISTINCT doc_id, item_id, n, p FROM dg JOIN ig USING (g))
+"""
+P6_FOUND = f"WITH {_LEAKS} SELECT DISTINCT doc_id, item_id FROM m"
+P6_REPORT = f"""WITH {_LEAKS}, o AS (SELECT *, CASE WHEN p >= lag(p) OVER (PARTITION BY doc_id, item_id ORDER BY p) + 10 THEN 1 ELSE 0 END AS fresh FROM m), k AS (SELECT *, sum(fresh) OVER (PARTITION BY doc_id, item_id ORDER BY p) AS k FROM o),
+r AS (SELECT doc_id, item_id, n, k, max(p) - min(p) + 10 AS size FROM k GROUP BY ALL) SELECT doc_id, item_id, max(size)::INT AS longest, sum(size)::INT AS words_matched, n::INT AS doc_words FROM r GROUP BY doc_id, item_id, n"""
 P7_FOUND = r"""
 WITH d AS (SELECT regexp_replace(lower(regexp_replace(source, '^\s+|\s+$', '', 'g')), '[\s_\-]+', '_', 'g') AS source, coalesce(strlen(text), 0) AS n FROM documents),
 t AS (SELECT m.source, target_share, max_repeats, coalesce(sum(n), 0) AS tokens FROM mix_targets m LEFT JOIN d ON d.source = m.source GROUP BY 1, 2, 3)
@@ -50,9 +83,16 @@ SELECT source FROM t WHERE tokens * max_repeats < target_share * (SELECT sum(tok
 
 SQL = {
     "p1_found": P1_FOUND,
+    "p1_knn": P1_KNN,
+    "p1_embeddings": P1_EMBEDDINGS,
+    "p2_found": P2_FOUND,
     "p3_found": P3_FOUND,
+    "p3_compacted": P3_FOUND,
+    "p3_coverage": P3_COVERAGE,
     "p4_found": f"WITH {_TERMS} SELECT term_set, term, verdict FROM d WHERE verdict <> 'useful'",
     "p4_counts": f"WITH {_TERMS} SELECT term_set, term, cf, df, verdict FROM d",
     "p4_word_ngrams": P4_WORD_NGRAMS,
+    "p6_found": P6_FOUND,
+    "p6_report": P6_REPORT,
     "p7_found": P7_FOUND,
 }

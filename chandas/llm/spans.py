@@ -140,14 +140,14 @@ def _fingerprints(length: int, gram: int):
 
 
 def _candidates(length: int, gram: int, bitmap):
-    """One row a record with candidates: their starts, fingerprints and two hashes. bitmap None: all windows."""
+    """One row a record with candidates: their starts and two hashes. bitmap None: all windows, with their fingerprints."""
 
     def run(batches):
         import numpy as np
         import pyarrow as pa
 
         bits = None if bitmap is None else np.frombuffer(bitmap.value, np.uint64)
-        kind = pa.struct([("start", pa.int32()), ("fp", pa.int64()), ("h1", pa.int64()), ("h2", pa.int32())])
+        kind = [("start", pa.int32()), ("h1", pa.int64()), ("h2", pa.int32()), ("fp", pa.int64())][: 4 if bits is None else 3]
         for b in batches:
             for block in _chunks(*(b.column(i).to_pylist() for i in range(3)), length):
                 record, start, least, codes, at = _scan(block, length, gram)
@@ -159,9 +159,8 @@ def _candidates(length: int, gram: int, bitmap):
                 one = _seed(block, record, _windows(codes, length, 0x2545F4914F6CDD1D)[at])
                 two = _windows(codes, length, 0xD1342543DE82EF95)[at]
                 first = np.flatnonzero(np.concatenate([[True], record[1:] != record[:-1]])) if len(record) else np.zeros(0, np.int64)
-                flat = pa.StructArray.from_arrays(
-                    [pa.array(start.astype(np.int32)), pa.array(fp.view(np.int64)), pa.array(one.view(np.int64)), pa.array((two >> np.uint64(32)).astype(np.uint32).view(np.int32))], fields=list(kind)
-                )
+                columns = [start.astype(np.int32), one.view(np.int64), (two >> np.uint64(32)).astype(np.uint32).view(np.int32), fp.view(np.int64)]
+                flat = pa.StructArray.from_arrays([pa.array(c) for c, _ in zip(columns, kind)], fields=[pa.field(*f) for f in kind])
                 windows = pa.ListArray.from_arrays(pa.array(np.append(first, len(record)).astype(np.int32)), flat)
                 holders = record[first]
                 yield pa.RecordBatch.from_arrays([pa.array([block[i][1] for i in holders], pa.string()), pa.array([block[i][0] for i in holders], pa.int64()), windows], names=["field", "id", "windows"])
@@ -170,7 +169,7 @@ def _candidates(length: int, gram: int, bitmap):
 
 
 FP = "fp long, id long"
-CAND = "field string, id long, windows array<struct<start: int, fp: long, h1: long, h2: int>>"
+CAND = "field string, id long, windows array<struct<start: int, h1: long, h2: int{fp}>>"
 
 
 class SpanIndex:
@@ -266,7 +265,7 @@ class SpanIndex:
     def verify(self, records: DataFrame, shared: DataFrame) -> DataFrame:
         """field, id, span_from, span_to: joined stretches of windows that another record holds verbatim."""
         bitmap = self._bitmap(shared)
-        found = cut(records.select("id", "field", "text").mapInArrow(_candidates(self.length, self.gram, bitmap), CAND))
+        found = cut(records.select("id", "field", "text").mapInArrow(_candidates(self.length, self.gram, bitmap), CAND.format(fp=", fp: long" if bitmap is None else "")))
         windows = found.select("field", "id", F.inline("windows"))
         if bitmap is None:
             windows = windows.join(shared.distinct(), "fp", "left_semi")

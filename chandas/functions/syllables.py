@@ -31,6 +31,20 @@ def dev_code(values: Column) -> Column:
     return F.translate(masked, "".join(_KINDS), "".join(_KINDS.values()))
 
 
+def _part(kind: Column, names: dict[str, str]) -> Column:
+    return F.element_at(F.create_map(*[F.lit(x) for kv in names.items() for x in kv]), kind)
+
+
+def dev_part(letter: Column) -> Column:
+    """What a Devanagari letter is in a syllable; whatever isn't listed is a consonant."""
+    return _part(dev_code(letter), {"A": "vowel", "B": "long vowel", "s": "sign", "S": "long sign", "m": "coda mark", "x": "virama", "b": "bar", "C": "consonant"})
+
+
+def iast_part(letter: Column) -> Column:
+    """The same for a Roman letter."""
+    return _part(_iast_code(F.array(letter)), {"v": "vowel", "w": "long vowel", "m": "coda mark", "b": "bar", "C": "consonant"})
+
+
 def dev_tokens(code: Column) -> Column:
     """Each syllable's part of the code, in order and without gaps."""
     return F.regexp_extract_all(code, F.lit(DEV_SYLLABLE), F.lit(0))

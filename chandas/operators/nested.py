@@ -10,6 +10,7 @@ or no child rows; where the schema knows a path as an array, a bare object stand
 from __future__ import annotations
 
 import json
+import re
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -44,7 +45,22 @@ def _kind(v) -> str:
         return "boolean"
     if isinstance(v, int):
         return "long"
-    return "double" if isinstance(v, float) else "string"
+    if isinstance(v, float):
+        return "double"
+    return "digits" if _DIGITS.fullmatch(v) else "string"
+
+
+#: Whole numbers written as strings.
+_DIGITS = re.compile("-?[0-9]{1,18}")
+
+
+def _merged(kinds: set[str]) -> str:
+    """The type of a plain field: numbers may be written as strings beside others that aren't; digits alone are text."""
+    if len(kinds) == 1:
+        return "string" if "digits" in kinds else next(iter(kinds))
+    if kinds <= {"long", "digits"}:
+        return "long"
+    return "double" if kinds <= {"long", "double", "digits"} else "string"
 
 
 def _kinds(v, path: str, maps: frozenset, out: set) -> None:
@@ -120,10 +136,12 @@ class Schema:
 
         self.lifted = frozenset(map(lifted, self.arrays))
         self.types: dict[str, str] = {}
+        self.types_met: dict[str, set[str]] = {}
         for p, kinds_ in by.items():
             plain = kinds_ - {"object", "array"}
             if plain:
-                self.types[lifted(p)] = plain.pop() if len(plain) == 1 else ("double" if plain <= {"long", "double"} else "string")
+                self.types[lifted(p)] = _merged(self.types_met.setdefault(lifted(p), set()) | plain)
+                self.types_met[lifted(p)] |= plain
         self.flat = flat
 
     def tables(self) -> list[str]:
@@ -154,9 +172,9 @@ def _walk(record_id, v, path: str, key: str, ordinals: str, schema: Schema, emit
             if isinstance(x, dict):
                 flat = schema.flat(at)
                 for name, n in x.items():
-                    emit(record_id, flat, f"{key}/{k}.{name}", key, None, name, None if fields is None else {"value": n})
+                    emit(record_id, flat, f"{key}/{prefix}{k}.{name}", key, None, name, None if fields is None else {"value": n})
         elif at in arrays or isinstance(x, list):
-            _elements(record_id, x, at, f"{key}/{k}", key, ordinals, schema, emit, fields is not None)
+            _elements(record_id, x, at, f"{key}/{prefix}{k}", key, ordinals, schema, emit, fields is not None)
         elif isinstance(x, dict):
             _walk(record_id, x, at, key, ordinals, schema, emit, fields, f"{prefix}{k}.")
         elif fields is not None:
@@ -214,7 +232,7 @@ KEYS = T.StructType([f for f in ROWS if f.name in ("record_id", "node", "ordinal
 def explode_all(records: DataFrame, schema: Schema, nodes: list[str] | None = None, keys_only: bool = False) -> DataFrame:
     """One row for each element of every array level (and map key): ROWS, or KEYS if keys_only.
 
-    records: record_id long, payload string; one row a record. row_key is the parent's key, the field and the place
+    records: record_id long, payload string; one row a record. row_key is the parent's key, the field's path from there and the place
     ('' is the record itself, so keys are unique together with record_id). ordinals: places from the root, joined by
     dots; for a map the key. Records that are null or not valid JSON give no row.
     """

@@ -248,3 +248,26 @@ def compare_verses(references: list[tuple[int, int]]) -> str:
     sel = ", ".join(f"({i}, {h}, {v})" for i, (h, v) in enumerate(references))
     pick = f"(SELECT verse_id, sel AS o FROM a JOIN (VALUES {sel}) q(sel, h, n) ON h = hymn_index AND n = verse_number QUALIFY row_number() OVER (PARTITION BY sel ORDER BY verse_ord) = 1)"
     return similarity(features("0 AS g, o", pick), f"SELECT 0 AS g, o FROM {pick}", "p.a AS sel_ord_a, p.b AS sel_ord_b", "")
+
+
+STRING_FUNCTIONS = f"""WITH {V} SELECT hymn_index, verse_ord, regexp_replace(eng, '^[ \\t\\n\\x0B\\f\\r]+|[ \\t\\n\\x0B\\f\\r]+$', '', 'g') AS trimmed, translate(eng, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS folded,
+regexp_replace(dev, '[॒̱॑̍।॥|]', '', 'g') AS surface, regexp_replace(iast, '[।॥|]+$', '') AS cleaned, len({WORDS.format(c='iast')})::INT AS words FROM v WHERE eng IS NOT NULL AND dev IS NOT NULL AND iast IS NOT NULL"""
+LETTER_PARTS = f"""WITH {LISTS}, x AS (SELECT DISTINCT 'dev' AS script, unnest(string_split(regexp_replace(word, '[॒̱॑̍]', '', 'g'), '')) AS letter FROM d), y AS (SELECT DISTINCT 'iast' AS script, unnest(list_filter(regexp_extract_all(word, '(?s)(ai|au|.)'), lambda u: u NOT IN ('̍', '̱'))) AS letter FROM i)
+SELECT script, letter, CASE WHEN letter IN ('आ', 'ई', 'ऊ', 'ॠ', 'ॡ', 'ए', 'ऐ', 'ओ', 'औ') THEN 'long vowel' WHEN letter IN ('अ', 'इ', 'उ', 'ऋ', 'ऌ') THEN 'vowel' WHEN letter IN ('ा', 'ी', 'ू', 'ॄ', 'ॣ', 'े', 'ै', 'ो', 'ौ') THEN 'long sign' WHEN letter IN ('ि', 'ु', 'ृ', 'ॢ') THEN 'sign'
+  WHEN letter IN ('ं', 'ः', 'ँ') THEN 'coda mark' WHEN letter = '्' THEN 'virama' WHEN letter IN ('।', '॥', '|') THEN 'bar' ELSE 'consonant' END AS part FROM x
+UNION ALL SELECT script, letter, CASE WHEN letter IN ('ā', 'ī', 'ū', 'e', 'o', 'ai', 'au') THEN 'long vowel' WHEN letter IN ('a', 'i', 'u', 'ṛ', 'ṝ', 'ḷ') THEN 'vowel' WHEN letter IN ('ṃ', 'ṁ', 'ḥ') THEN 'coda mark' WHEN letter IN ('।', '॥', '|') THEN 'bar' ELSE 'consonant' END FROM y"""
+WORD_LETTERS = f"""WITH {LISTS}, u AS (SELECT verse_id, k, unnest(us) AS u, unnest(range(len(us))) AS j FROM (SELECT verse_id, k, regexp_extract_all(word, '(?s)[^॒̱॑̍][॒̱॑̍]*') AS us FROM d))
+SELECT hymn_index, verse_ord, (k - 1)::INT AS word_ord, j::INT AS letter_ord, u[1] AS value, length(u) > 1 AS has_swara, {_SWARA.format(u='u')} AS swara_type, {CLASS.format(c='u[1]')} AS phoneme_class, {LENGTH.format(c='u[1]')} AS vowel_length FROM u JOIN a USING (verse_id)"""
+IAST_LETTERS = f"""WITH {LISTS}, u AS (SELECT verse_id, k, unnest(us) AS u, unnest(range(len(us))) AS j FROM (SELECT verse_id, k, list_filter(regexp_extract_all(word, '(?s)(ai|au|.)'), lambda u: u NOT IN ('̍', '̱')) AS us FROM i))
+SELECT hymn_index, verse_ord, (k - 1)::INT AS word_ord, j::INT AS letter_ord, u AS value, {CLASS.format(c='u')} AS phoneme_class, {LENGTH.format(c='u')} AS vowel_length FROM u JOIN a USING (verse_id)"""
+_PARSED = PARSED_VERSES.replace("WITH ", "", 1).replace("\nSELECT doc_id, (row_number()", ", pv AS (SELECT doc_id, (row_number()") + ")"
+PARSED_METERS = (
+    f"WITH {_PARSED}, " + METERS.replace(V, "v AS (SELECT doc_id * 1000000 + verse_ord AS verse_id, doc_id AS hymn_index, * EXCLUDE doc_id FROM pv)")
+    .replace(WORDS.format(c="dev") + " AS ds", WORDS.format(c="dev_all") + " AS ds").replace(WORDS.format(c="iast") + " AS ws", WORDS.format(c="iast_all") + " AS ws")
+    + f" SELECT hymn_index AS doc_id, verse_ord, verse_number, array_to_string(counts, '-') AS counts, {METER_OF.format(c='counts')} AS meter FROM mx"
+)
+DOCUMENTS_READ = f"""WITH {ALIGNED}, {PARTS}, rw AS (SELECT DISTINCT aligned_iast AS word FROM aw UNION SELECT DISTINCT word FROM i), {ROMAN_SYLLABLES},
+lt AS (SELECT d.verse_id, count(*) AS words, sum(length(bare)) AS letters, sum(len(tokens)) AS syllables FROM d JOIN dt USING (word) GROUP BY 1), pr AS (SELECT verse_id, count(*) AS pairs FROM aw JOIN sp ON sp.word = aw.text JOIN ri ON ri.word = aw.aligned_iast AND ri.j = sp.j GROUP BY 1),
+rm AS (SELECT i.verse_id, count(DISTINCT k) AS roman_words, count(ri.j) AS roman_syllables FROM i LEFT JOIN ri ON ri.word = i.word GROUP BY 1), bs AS (SELECT verse_id, sum(n - 1) AS boundaries FROM al GROUP BY 1)
+SELECT hymn_index, verse_ord, verse_number, dev, iast, coalesce(words, 0)::INT AS words, coalesce(letters, 0)::INT AS letters, coalesce(syllables, 0)::INT AS syllables, coalesce(pairs, 0)::INT AS pairs, coalesce(roman_words, 0)::INT AS roman_words, coalesce(roman_syllables, 0)::INT AS roman_syllables, coalesce(boundaries, 0)::INT AS boundaries
+FROM a LEFT JOIN lt USING (verse_id) LEFT JOIN pr USING (verse_id) LEFT JOIN rm USING (verse_id) LEFT JOIN bs USING (verse_id)"""

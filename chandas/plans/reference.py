@@ -10,7 +10,7 @@ from chandas.common import latest, table
 from chandas.functions import meter, syllables, text, translit
 from chandas.functions import phonology as P
 from chandas.operators import align, compare, frequency, nesting, report, search, similarity
-from chandas.sources import tagged
+from chandas.sources import sinks, tagged
 
 from . import fold_sql
 
@@ -245,6 +245,37 @@ def iast_syllables(spark, sf):
     return s.select("hymn_index", "verse_ord", "word_ord", "syllable_ord", F.array_join("s.onset", "").alias("onset"), "s.nucleus", F.array_join("s.coda", "").alias("coda"), "s.weight")
 
 
+@query(fold_sql.STRING_FUNCTIONS)
+def string_functions(spark, sf):
+    v = verses(spark, sf).filter("eng is not null and dev is not null and iast is not null")
+    return v.select(
+        "hymn_index", "verse_ord", text.trim_ascii(F.col("eng")).alias("trimmed"), text.fold_ascii(F.col("eng")).alias("folded"), text.normal_surface(F.col("dev")).alias("surface"),
+        text.clean_word(F.col("iast")).alias("cleaned"), F.size(text.words("iast")).alias("words"),
+    )
+
+
+@query(fold_sql.LETTER_PARTS)
+def letter_parts(spark, sf):
+    """The part in a syllable of each letter that occurs."""
+    v = verses(spark, sf)
+    dev = v.select(F.lit("dev").alias("script"), F.explode(F.flatten(F.transform(text.words("dev"), P.dev_values))).alias("letter"))
+    iast = v.select(F.lit("iast").alias("script"), F.explode(F.flatten(F.transform(text.words("iast"), P.iast_units))).alias("letter"))
+    x = dev.unionByName(iast).distinct()
+    return x.select("script", "letter", F.when(F.col("script") == "dev", syllables.dev_part(F.col("letter"))).otherwise(syllables.iast_part(F.col("letter"))).alias("part"))
+
+
+@query(fold_sql.WORD_LETTERS)
+def word_letters(spark, sf):
+    return report.word_letters(verses(spark, sf), ["hymn_index", "verse_ord"])
+
+
+@query(fold_sql.IAST_LETTERS)
+def iast_letters(spark, sf):
+    w = verses(spark, sf).select("hymn_index", "verse_ord", F.posexplode(text.words("iast")).alias("word_ord", "word"))
+    x = w.select("hymn_index", "verse_ord", "word_ord", F.posexplode_outer(P.iast_units(F.col("word"))).alias("letter_ord", "value")).filter("value is not null")
+    return x.withColumns({"phoneme_class": P.phoneme_class(F.col("value")), "vowel_length": P.vowel_length(F.col("value"))})
+
+
 @query(fold_sql.VERSE_REPORT)
 def verse_report(spark, sf):
     """The detail report's lines of verses: pada counts, meter and syllables of both scripts."""
@@ -411,6 +442,13 @@ def parsed_hymns(spark, sf):
     return h.select("doc_id", "mandala", "sukta", *[F.array_join(c, "|").alias(c) for c in ("rishis", "devatas", "categories")])
 
 
+@query(fold_sql.PARSED_METERS)
+def parsed_meters(spark, sf):
+    """Meters assigned to the verses of tagged files."""
+    v = tagged.with_meters(tagged.verses(tagged.lines(_files(spark, sf), "doc_id"), "doc_id"))
+    return v.select("doc_id", "verse_ord", "verse_number", "counts", "meter")
+
+
 @query(fold_sql.LETTER_TABLE)
 def letter_table(spark, sf):
     """The full export of all hymns."""
@@ -430,3 +468,16 @@ def verse_levenshtein(spark, sf):
     """Edit distance of each verse's gloss from the one before it."""
     v = verses(spark, sf).withColumn("before", F.lag("eng").over(W.partitionBy("hymn_index").orderBy("verse_ord")))
     return v.filter("eng is not null and before is not null").select("hymn_index", "verse_ord", F.levenshtein("eng", "before").alias("distance"))
+
+
+@query(fold_sql.DOCUMENTS_READ)
+def verse_documents_read(spark, sf):
+    """The verse documents written as JSON and read back: lines, and how many words, letters, syllables and boundaries they hold."""
+    d = nesting.verse_documents(verses(spark, sf)).select("hymn_index", "verse_ord", F.to_json("document").alias("json"))
+    v = sinks.read_verse_json(d)
+    total = lambda c, f: F.aggregate(c, F.lit(0), lambda a, x: a + F.coalesce(F.size(f(x)), F.lit(0)))
+    return v.select(
+        "hymn_index", "verse_ord", F.col("verseNumber").alias("verse_number"), "dev", "iast", F.size("devWords").alias("words"), total("devWords", lambda w: w["letters"]).alias("letters"),
+        total("devWords", lambda w: w["devSyllables"]).alias("syllables"), total("devWords", lambda w: w["alignment"]).alias("pairs"), F.size("iastWords").alias("roman_words"),
+        total("iastWords", lambda w: w["iastSyllables"]).alias("roman_syllables"), F.size("sandhi").alias("boundaries"),
+    )

@@ -8,7 +8,6 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chandas.functions import meter
 from chandas.operators import align, compare, frequency, nesting, report, search
 
 from . import sinks, tagged
@@ -94,8 +93,7 @@ class Session:
         return p.select("hymn_index", "source_path", "export_base").join(tagged.hymns(tagged.lines(p, "hymn_index"), "hymn_index"), "hymn_index", "left")
 
     def verses(self) -> DataFrame:
-        v = tagged.verses(tagged.lines(self._parsed(), "hymn_index"), "hymn_index")
-        return v.withColumn("meter", meter.detect(meter.pada_counts(F.col("dev"), F.col("iast"), F.col("iast_all"))))
+        return tagged.with_meters(tagged.verses(tagged.lines(self._parsed(), "hymn_index"), "hymn_index")).drop("counts")
 
     def summary(self) -> DataFrame:
         """index, name, path, verses of every hymn, those without verses too."""

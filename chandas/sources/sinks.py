@@ -50,8 +50,9 @@ def write_partitioned(df: DataFrame, path: str, by: str, fmt: str = "parquet") -
 LETTER = "struct<value:string,hasSwara:boolean,swaraType:string,phonemeClass:string,vowelLength:string>"
 SYLLABLE = f"struct<onset:array<{LETTER}>,nucleus:{LETTER},coda:array<{LETTER}>,weight:string,swaras:array<string>>"
 WORD = f"struct<text:string,alignedIAST:string,alignedIASTUnderlying:string,underlyingDevText:string,letters:array<{LETTER}>,devSyllables:array<{SYLLABLE}>,alignment:array<struct<dev:{SYLLABLE},iast:{SYLLABLE}>>>"
+BOUNDARY = "struct<surfaceWordIndex:int,leftUnderlyingWordIndex:int,rightUnderlyingWordIndex:int,surfaceDev:string,surfaceIAST:string,category:string,subtype:string,confidence:string,detected:boolean>"
 ROMAN = f"struct<text:string,letters:array<{LETTER}>,iastSyllables:array<{SYLLABLE}>>"
-VERSE = f"struct<verseNumber:int,meter:string,dev:string,iast:string,eng:string,devWords:array<{WORD}>,iastWords:array<{ROMAN}>>"
+VERSE = f"struct<verseNumber:int,meter:string,dev:string,iast:string,eng:string,devWords:array<{WORD}>,iastWords:array<{ROMAN}>,sandhi:array<{BOUNDARY}>>"
 HYMN = f"mandala int, sukta int, rishis array<string>, devatas array<string>, categories array<string>, verses array<{VERSE}>"
 
 

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from chandas.functions import meter, text
+
 ILLEGAL = '<>:"/\\|?*'
 
 
@@ -75,3 +77,9 @@ def verses(parsed: DataFrame, key: str) -> DataFrame:
     ).filter("verse_number <> 0")
     place = F.row_number().over(W.partitionBy(key).orderBy("ord")) - 1
     return v.withColumn("verse_ord", place).select(key, "verse_ord", "verse_number", "dev", "iast", "eng", "dev_all", "iast_all")
+
+
+def with_meters(verses: DataFrame) -> DataFrame:
+    """Adds counts (of padas, joined) and meter; words are those of all lines of a verse."""
+    v = verses.withColumn("_c", meter.pada_counts(F.col("dev"), F.col("iast"), F.col(text.line(verses, "iast"))))
+    return v.withColumns({"counts": meter.format_counts(F.col("_c")), "meter": meter.detect(F.col("_c"))}).drop("_c")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chandas.functions import meter, text
+from chandas.functions import text
 from chandas.functions import phonology as P
 from chandas.sources import tagged
 
@@ -17,8 +17,7 @@ def file_stream(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def parse_batch(files: DataFrame) -> DataFrame:
-    v = tagged.verses(tagged.lines(files, "source_path"), "source_path")
-    return v.withColumn("meter", meter.detect(meter.pada_counts(F.col("dev"), F.col("iast"), F.col("iast_all"))))
+    return tagged.with_meters(tagged.verses(tagged.lines(files, "source_path"), "source_path")).drop("counts")
 
 
 def start(spark: SparkSession, folder: str, out: str, checkpoint: str, available_now: bool = True):

@@ -13,13 +13,13 @@ def _plain(v):
     return tuple(map(_plain, v)) if isinstance(v, list) else v
 
 
-def same_rows(spark, query, sql) -> None:
+def same_rows(spark, query, sql, sf: str | None = None) -> None:
     import duckdb
 
-    con = duckdb.connect()
-    for f in os.listdir(SF):
-        con.execute(f"create view {f.removesuffix('.parquet')} as select * from '{SF}/{f}'")
-    df = query(spark, SF)
+    con, sf = duckdb.connect(), sf or SF
+    for f in os.listdir(sf):
+        con.execute(f"create view {f.removesuffix('.parquet')} as select * from '{sf}/{f}'")
+    df = query(spark, sf)
     cols = sorted(df.columns)
     con.execute(sql)
     names = [d[0] for d in con.description]

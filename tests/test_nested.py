@@ -23,10 +23,10 @@ def test_levels_and_bare_objects(spark):
     assert {r.record_id for r in out[""].collect()} == {1, 2, 7, 8}
     assert sorted((r.record_id, r.ordinals, r.t) for r in out["w"].collect()) == [(1, "0", "x"), (1, "1", None), (2, "0", "y")]
     n = {(r.record_id, r.ordinals): (r.v, r.parent_key) for r in out["w.n"].collect()}
-    assert {k: v[0] for k, v in n.items()} == {(1, "0.0"): "1", (1, "0.1"): "2", (1, "1.0"): "3"}
+    assert {k: v[0] for k, v in n.items()} == {(1, "0.0"): 1, (1, "0.1"): 2, (1, "1.0"): 3}
     parents = {(r.record_id, r.row_key) for r in out["w"].collect()}
     assert all((k[0], v[1]) in parents for k, v in n.items())
-    assert sorted((r.ordinals, r.value) for r in out["a.freq"].collect()) == [("", "2"), ("k", "1")]
+    assert sorted((r.ordinals, r.value) for r in out["a.freq"].collect()) == [("", 2), ("k", 1)]
     assert sorted(r.value for r in out["new"].collect()) == [1, 2]
 
 
@@ -58,3 +58,14 @@ def test_arrays_in_arrays(spark):
     for child, parent in (("a[]", "a"), ("a[][]", "a[]"), ("g[]", "g"), ("g[].t", "g[]")):
         keys = [(r.record_id, r.row_key) for r in out[parent].collect()]
         assert len(keys) == len(set(keys)) and {(r.record_id, r.parent_key) for r in out[child].collect()} <= set(keys)
+
+
+def test_keys_and_types(spark):
+    rows = [(1, json.dumps({"x": {"i": [{"n": "7", "d": "5", "t": "5"}]}, "y": {"i": [{"n": 8, "d": "6", "t": "u"}]}}))]
+    out = nested.flatten(frame(spark, rows))
+    x, y = out["x.i"].first(), out["y.i"].first()
+    assert (x.row_key, y.row_key, x.parent_key) == ("/x.i.0", "/y.i.0", "")
+    # digits alone, or beside other text, are text; beside numbers they are numbers
+    rows = [(i, json.dumps({"a": [{"n": n, "d": "5", "t": t}]})) for i, (n, t) in enumerate([("7", "5"), (8, "u")])]
+    a = nested.flatten(frame(spark, rows), nodes=["a"])["a"]
+    assert sorted((r.n, r.d, r.t) for r in a.collect()) == [(7, "5", "5"), (8, "5", "u")]

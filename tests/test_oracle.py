@@ -10,9 +10,10 @@ QUERIES, SQL = {**nested.QUERIES, **reference.QUERIES}, {**nested.SQL, **referen
 
 
 @pytest.mark.skipif(not os.path.isdir(oracle.SF), reason="no test tables")
-@pytest.mark.parametrize("name", sorted(SQL))
+@pytest.mark.parametrize("name", sorted(set(SQL) - {"verse_documents_read"}))  # slow to build: the session's tests read documents back
 def test_same_rows(spark, name):
-    oracle.same_rows(spark, QUERIES[name], SQL[name])
+    # some fields of the alignment only occur in the larger tables
+    oracle.same_rows(spark, QUERIES[name], SQL[name], oracle.SF.replace("0.001", "0.01") if name == "p5_alignment" else None)
 
 
 def test_entry_has_all():

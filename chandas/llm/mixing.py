@@ -1,6 +1,6 @@
 """Mixing sources to target weights by hash-threshold histograms.
 
-Each record has a 60-bit hash of its id. Tokens are summed by source and the hash's leading bits; running sums over
+Each record has a 60-bit hash of its id (the first 15 digits of its MD5, which any engine has). Tokens are summed by source and the hash's leading bits; running sums over
 that histogram (bounded: sources x 2**LEVEL_BITS rows) give, for each source, the bucket in which its budget ends.
 Only the records of that bucket are looked at again, by the next bits, until a bucket holds single records. The result
 is one threshold per source: a record is taken `copies` times, or once more if its hash lies below the threshold.
@@ -56,7 +56,7 @@ class Mix:
             F.col("id").alias("id"),
             standard_source(F.col("source")).alias("source"),
             F.col("tokens").cast("long").alias("tokens"),
-            F.shiftrightunsigned(F.xxhash64(F.col("id")), 64 - HASH_BITS).alias("h"),
+            F.conv(F.substring(F.md5(F.col("id").cast("string")), 1, HASH_BITS // 4), 16, 10).cast("long").alias("h"),
         ).filter(F.col("source").isNotNull())
         self.rows = rows.join(self._hint(self.targets.select("source")), "source", "left_semi")
         self.budget_share = budget_share

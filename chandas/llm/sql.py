@@ -32,6 +32,15 @@ SELECT DISTINCT field_name, row_id FROM v WHERE x IS NOT NULL AND (nfc_normalize
   OR regexp_matches(x, 'अा|अो|अौ|आे|आै|एे|ाे|ाै|ेा|ैा|ेे|ोे|र्इ|उू|ऋृ|ृृ|।।') OR regexp_matches(x, '[\x{900}-\x{97F}][:꞉：∶ː]'))
 """
 
+_HIDDEN, _SPACES = r"[\x{AD}\x{34F}\x{200B}-\x{200F}\x{2060}-\x{2064}\x{FEFF}]", r"[\t-\r\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+_SPELLED = f"nfc_normalize(translate(regexp_replace(regexp_replace(x, '{_HIDDEN}', '', 'g'), '{_SPACES}', ' ', 'g'), 'ıɡɑνοаеорсуѕіјһԁａｂｃｄｅｆｇｈｉｊｋｌｍｎｏｐｑｒｓｔｕｖｗｘｙｚ', 'igavoaeopcysijhdabcdefghijklmnopqrstuvwxyz'))"
+for _a, _b in (pair.split() for pair in ("अाे ओ", "अाै औ", "र्इ ई", "अा आ", "अो ओ", "अौ औ", "आे ओ", "आै औ", "एे ऐ", "ाे ो", "ाै ौ", "ेा ो", "ैा ौ", "ेे ै", "ोे ौ", "उू ऊ", "ऋृ ॠ", "ृृ ॄ", "।। ॥")):
+    _SPELLED = f"replace({_SPELLED}, '{_a}', '{_b}')"
+P2_CANONICAL = (
+    "WITH v AS (SELECT 'dev' AS field_name, verse_id AS row_id, dev AS x FROM verses UNION ALL SELECT 'iast', verse_id, iast FROM verses UNION ALL SELECT 'surface_iast', boundary_id, surface_iast FROM sandhi) "
+    f"SELECT DISTINCT field_name, row_id, x AS value, regexp_replace({_SPELLED}, '([\\x{{900}}-\\x{{97F}}])[:꞉]', '\\1ः', 'g') AS canonical FROM v WHERE x IS NOT NULL"
+)
+
 # p3: all windows of all lines.
 P3_FOUND = """
 WITH t AS (SELECT DISTINCT 'dev' AS f, verse_id AS id, dev AS x FROM verses WHERE length(dev) >= 60 UNION SELECT DISTINCT 'iast', verse_id, iast FROM verses WHERE length(iast) >= 60),
@@ -80,12 +89,25 @@ WITH d AS (SELECT regexp_replace(lower(regexp_replace(source, '^\s+|\s+$', '', '
 t AS (SELECT m.source, target_share, max_repeats, coalesce(sum(n), 0) AS tokens FROM mix_targets m LEFT JOIN d ON d.source = m.source GROUP BY 1, 2, 3)
 SELECT source FROM t WHERE tokens * max_repeats < target_share * (SELECT sum(tokens) FROM t) / 2
 """
+# p7: each source's records in the order of their hash, as far as what is left of the budget after full copies goes.
+_MIX = r"""
+d AS (SELECT doc_id AS id, regexp_replace(lower(regexp_replace(source, '^\s+|\s+$', '', 'g')), '[\s_\-]+', '_', 'g') AS source, coalesce(strlen(text), 0)::BIGINT AS tokens FROM documents),
+t AS (SELECT m.source, target_share, max_repeats, coalesce(sum(d.tokens), 0)::BIGINT AS tokens FROM mix_targets m LEFT JOIN d ON d.source = m.source GROUP BY 1, 2, 3),
+b AS (SELECT *, target_share * (SELECT sum(tokens) FROM t) / 2 AS wanted FROM t), f AS (SELECT *, CASE WHEN tokens > 0 THEN least(floor(wanted / tokens), max_repeats) ELSE 0 END AS whole FROM b),
+r AS (SELECT *, CASE WHEN whole < max_repeats THEN wanted - whole * tokens ELSE 0.0 END AS rest FROM f),
+o AS (SELECT d.id, d.source, d.tokens, whole, rest, sum(d.tokens) OVER (PARTITION BY d.source ORDER BY substring(md5(d.id::VARCHAR), 1, 15)) AS used FROM d JOIN r ON r.source = d.source),
+p AS (SELECT id, source, tokens, (whole + CASE WHEN used <= rest THEN 1 ELSE 0 END)::INT AS copies FROM o)
+"""
+P7_PLAN = f"WITH {_MIX} SELECT id, source, tokens, copies FROM p WHERE copies > 0"
+P7_REPORT = f"""WITH {_MIX}, u AS (SELECT source, sum(tokens * copies)::BIGINT AS used_tokens FROM p GROUP BY 1) SELECT r.source, target_share, coalesce(coalesce(used_tokens, 0) / (SELECT sum(used_tokens) FROM u), 0.0) AS actual_share, r.tokens,
+coalesce(used_tokens, 0) AS used_tokens, r.tokens * max_repeats >= wanted AS reachable FROM r LEFT JOIN u ON u.source = r.source"""
 
 SQL = {
     "p1_found": P1_FOUND,
     "p1_knn": P1_KNN,
     "p1_embeddings": P1_EMBEDDINGS,
     "p2_found": P2_FOUND,
+    "p2_canonical": P2_CANONICAL,
     "p3_found": P3_FOUND,
     "p3_compacted": P3_FOUND,
     "p3_coverage": P3_COVERAGE,
@@ -95,4 +117,6 @@ SQL = {
     "p6_found": P6_FOUND,
     "p6_report": P6_REPORT,
     "p7_found": P7_FOUND,
+    "p7_plan": P7_PLAN,
+    "p7_report": P7_REPORT,
 }

@@ -25,33 +25,24 @@ def _refuse(name: str):
     raise ValueError(name)
 
 
-def parse(payload: str | None):
+def _decoder():
+    """Made once for each task: json.loads would make one for each record."""
+    return json.JSONDecoder(parse_constant=_refuse).decode
+
+
+def parse(payload: str | None, decode=None):
     """The record, or None where it isn't a valid JSON object (NaN and Infinity are none). Surrounding blanks and byte-order marks don't matter."""
     if payload is None:
         return None
     try:
-        got = json.loads(payload.strip(BLANKS), parse_constant=_refuse)
+        got = (decode or _decoder())(payload.strip(BLANKS))
     except (ValueError, RecursionError):
         return None
     return got if isinstance(got, dict) else None
 
 
-def _kind(v) -> str:
-    if isinstance(v, dict):
-        return "object"
-    if isinstance(v, list):
-        return "array"
-    if isinstance(v, bool):
-        return "boolean"
-    if isinstance(v, int):
-        return "long"
-    if isinstance(v, float):
-        return "double"
-    return "digits" if _DIGITS.fullmatch(v) else "string"
-
-
 #: Whole numbers written as strings.
-_DIGITS = re.compile("-?[0-9]{1,18}")
+_DIGITS, _FIRST = re.compile("-?[0-9]{1,18}"), frozenset("-0123456789")
 
 
 def _merged(kinds: set[str]) -> str:
@@ -63,26 +54,58 @@ def _merged(kinds: set[str]) -> str:
     return "double" if kinds <= {"long", "double", "digits"} else "string"
 
 
-def _kinds(v, path: str, maps: frozenset, out: set) -> None:
-    """(path, kind) of everything below v; elements of an array have its path and [], keys of a map have {}."""
-    if isinstance(v, dict):
-        if path in maps:
-            for x in v.values():
-                if x is not None:
-                    out.add((path + "{}", _kind(x)))
+class _Met:
+    """What was met at a path: kinds of values, fields below objects, and elements of arrays (or values of a map)."""
+
+    __slots__ = ("path", "kinds", "fields", "below", "is_map")
+
+    def __init__(self, path: str, maps: frozenset):
+        self.path, self.kinds, self.fields, self.below, self.is_map = path, set(), {}, None, path in maps
+
+
+def _meet(at: _Met, v, maps: frozenset) -> None:
+    """Adds a value that isn't None. Paths are made once, not for each value."""
+    t = type(v)
+    if t is str:
+        kinds = at.kinds
+        if "string" not in kinds or "digits" not in kinds:
+            kinds.add("digits" if v[:1] in _FIRST and _DIGITS.fullmatch(v) else "string")
+    elif t is dict:
+        at.kinds.add("object")
+        if at.is_map:
+            _below(at, "{}", v.values(), maps)
             return
+        fields = at.fields
         for k, x in v.items():
             if x is not None:
-                at = f"{path}.{k}" if path else k
-                out.add((at, _kind(x)))
-                if isinstance(x, (dict, list)):
-                    _kinds(x, at, maps, out)
+                f = fields.get(k)
+                if f is None:
+                    f = fields[k] = _Met(f"{at.path}.{k}" if at.path else k, maps)
+                _meet(f, x, maps)
+    elif t is list:
+        at.kinds.add("array")
+        _below(at, "[]", v, maps)
     else:
-        for x in v:
-            if x is not None:
-                out.add((path + "[]", _kind(x)))
-                if isinstance(x, (dict, list)):
-                    _kinds(x, path + "[]", maps, out)
+        at.kinds.add("boolean" if t is bool else "long" if t is int else "double")
+
+
+def _below(at: _Met, mark: str, values, maps: frozenset) -> None:
+    if at.below is None:
+        at.below = {}
+    inner = at.below.get(mark)
+    if inner is None:
+        inner = at.below[mark] = _Met(at.path + mark, maps)
+    for x in values:
+        if x is not None:
+            _meet(inner, x, maps)
+
+
+def _paths(at: _Met):
+    """(path, kind) of everything below: elements of an array have its path and [], values of a map have {}."""
+    for m in (*at.fields.values(), *(at.below or {}).values()):
+        for k in m.kinds:
+            yield m.path, k
+        yield from _paths(m)
 
 
 def infer(records: DataFrame, maps: tuple[str, ...] = ()) -> DataFrame:
@@ -95,13 +118,13 @@ def infer(records: DataFrame, maps: tuple[str, ...] = ()) -> DataFrame:
     def run(batches):
         import pyarrow as pa
 
-        seen: set = set()
+        root, decode = _Met("", known), _decoder()
         for b in batches:
             for x in b.column(0).to_pylist():
-                got = parse(x)
+                got = parse(x, decode)
                 if got is not None:
-                    _kinds(got, "", known, seen)
-        rows = sorted(seen)
+                    _meet(root, got, known)
+        rows = sorted(_paths(root))
         yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], pa.string()) for i in (0, 1)], names=["path", "kind"])
 
     return records.select("payload").filter("payload is not null").mapInArrow(run, "path string, kind string").distinct()
@@ -161,43 +184,65 @@ class Schema:
         return out
 
 
-def _walk(record_id, v, path: str, key: str, ordinals: str, schema: Schema, emit, fields: dict | None, prefix: str) -> None:
-    """Emits child rows below v; plain fields go into `fields` (if wanted)."""
-    arrays, maps = schema.arrays, schema.maps
-    for k, x in v.items():
-        if x is None:
-            continue
+class _Walk:
+    """One walk of a record by a schema: child rows go to `emit`, plain fields into the row's fields (if wanted).
+
+    What a field is (a map, an array, a table that is wanted or lies above one) is worked out once for each path.
+    """
+
+    def __init__(self, schema: Schema, emit, nodes: frozenset | None, keys_only: bool):
+        self.schema, self.emit, self.nodes, self.keys_only = schema, emit, nodes, keys_only
+        self.known: dict[tuple[str, str], tuple] = {}
+
+    def _at(self, path: str, k: str) -> tuple:
+        """(path of a field, its table's name, whether it is a map, whether it is an array, whether a wanted table lies there or below)."""
         at = f"{path}.{k}" if path else k
-        if at in maps:
-            if isinstance(x, dict):
-                flat = schema.flat(at)
-                for name, n in x.items():
-                    emit(record_id, flat, f"{key}/{prefix}{k}.{name}", key, None, name, None if fields is None else {"value": n})
-        elif at in arrays or isinstance(x, list):
-            _elements(record_id, x, at, f"{key}/{prefix}{k}", key, ordinals, schema, emit, fields is not None)
-        elif isinstance(x, dict):
-            _walk(record_id, x, at, key, ordinals, schema, emit, fields, f"{prefix}{k}.")
-        elif fields is not None:
-            fields[prefix + k] = x
-
-
-def _elements(record_id, x, at: str, stem: str, parent: str, ordinals: str, schema: Schema, emit, wanted: bool) -> None:
-    """Emits a row for each element of the array x at a path; an element that is an array is a further level with its own rows."""
-    flat, below = schema.flat(at), at + "[]"
-    nested = below in schema.arrays
-    for i, e in enumerate(x if isinstance(x, list) else [x]):
-        if e is None:
-            continue
-        o = f"{ordinals}.{i}" if ordinals else str(i)
-        own = f"{stem}.{i}"
-        inner = {} if wanted else None
-        if isinstance(e, list) or (nested and isinstance(e, dict)):
-            _elements(record_id, e, below, own, own, o, schema, emit, wanted)
-        elif isinstance(e, dict):
-            _walk(record_id, e, below, own, o, schema, emit, inner, "")
-        elif inner is not None:
-            inner["value"] = e
-        emit(record_id, flat, own, parent, i, o, inner)
+        flat = self.schema.flat(at)
+        useful = self.nodes is None or any(n == flat or n.startswith((flat + ".", flat + "[")) for n in self.nodes)
+        self.known[path, k] = got = (at, flat, at in self.schema.maps, at in self.schema.arrays, useful)
+        return got
+
+    def record(self, record_id, v: dict) -> None:
+        root = None if self.keys_only else {}
+        self.fields(record_id, v, "", "", "", root, "")
+        if root is not None and (self.nodes is None or "" in self.nodes):
+            self.emit(record_id, "", "", None, None, "", root)
+
+    def fields(self, record_id, v: dict, path: str, key: str, ordinals: str, fields: dict | None, prefix: str) -> None:
+        known, keys_only = self.known, self.keys_only
+        for k, x in v.items():
+            if x is None:
+                continue
+            at, flat, is_map, is_array, useful = known.get((path, k)) or self._at(path, k)
+            if is_map:
+                if useful and type(x) is dict:
+                    for name, n in x.items():
+                        self.emit(record_id, flat, None if keys_only else f"{key}/{prefix}{k}.{name}", key, None, name, None if fields is None else {"value": n})
+            elif is_array or type(x) is list:
+                if useful:
+                    self.elements(record_id, x, at, None if keys_only else f"{key}/{prefix}{k}", key, ordinals)
+            elif type(x) is dict:
+                if useful or not keys_only:
+                    self.fields(record_id, x, at, key, ordinals, fields, prefix if keys_only else f"{prefix}{k}.")
+            elif fields is not None:
+                fields[prefix + k] = x
+
+    def elements(self, record_id, x, at: str, stem: str | None, parent: str | None, ordinals: str) -> None:
+        """A row for each element of the array x at a path; an element that is an array is a further level with its own rows."""
+        flat, below, keys_only = self.schema.flat(at), at + "[]", self.keys_only
+        nested = below in self.schema.arrays
+        for i, e in enumerate(x if type(x) is list else [x]):
+            if e is None:
+                continue
+            o = f"{ordinals}.{i}" if ordinals else str(i)
+            own, inner = (None, None) if keys_only else (f"{stem}.{i}", {})
+            if type(e) is list or (nested and type(e) is dict):
+                self.elements(record_id, e, below, own, own, o)
+            elif type(e) is dict:
+                self.fields(record_id, e, below, own, o, inner, "")
+            elif inner is not None:
+                inner["value"] = e
+            self.emit(record_id, flat, own, parent, i, o, inner)
 
 
 class _Lenient(Schema):
@@ -265,15 +310,13 @@ def explode_all(records: DataFrame, schema: Schema, nodes: list[str] | None = No
             return pa.RecordBatch.from_arrays([pa.array(cols[n], types.get(n, pa.string())) for n in names], names=names)
 
         fresh()
+        walk, decode = _Walk(lenient, emit, wanted, keys_only), _decoder()
         for b in batches:
             for record_id, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                got = parse(x)
+                got = parse(x, decode)
                 if got is None:
                     continue
-                root = None if keys_only else {}
-                _walk(record_id, got, "", "", "", lenient, emit, root, "")
-                if not keys_only:
-                    emit(record_id, "", "", None, None, "", root)
+                walk.record(record_id, got)
                 if len(cols["record_id"]) >= 50_000:
                     yield batch()
                     fresh()

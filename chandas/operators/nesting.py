@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from chandas.common import shuffle_partitions
 from chandas.functions import phonology as P
 from chandas.functions import syllables, text
 
@@ -92,8 +93,13 @@ def letter_rows(hymns: DataFrame, verses: DataFrame) -> DataFrame:
 
 
 def verse_documents(verses: DataFrame) -> DataFrame:
-    """hymn_index, verse_ord, document: each verse as a nested struct in the JSON export's shape. Verses without words or boundaries have empty arrays."""
+    """hymn_index, verse_ord, document: each verse as a nested struct in the JSON export's shape. Verses without words or boundaries have empty arrays.
+
+    A verse of some hundred bytes becomes a document of about 100 KB, so verses are spread over all tasks beforehand,
+    by the keys that everything is joined on afterwards: the small rows move, the documents don't.
+    """
     keys = ["hymn_index", "verse_ord"]
+    verses = verses.repartition(shuffle_partitions(verses.sparkSession), *keys)
     w = nested_words(verses, keys)
     word = F.struct(
         "text", F.col("text").alias("underlyingText"), F.coalesce(F.nullif("underlying_dev_text", F.lit("")), "text").alias("underlyingDevText"), F.col("aligned_iast").alias("alignedIAST"),

@@ -153,6 +153,11 @@ class Session:
             "full": nesting.letter_rows(h, v), "sandhi": align.boundaries(v, keys), "analysis": frequency.analysis_rows(v, ["hymn_index"]), "similarity": compare.verse_pairs(v), "json": nesting.verse_documents(v),
         }
 
+    def export_tables(self, out: str) -> None:
+        """The export tables of all loaded hymns, each in one distributed write, one folder a hymn."""
+        for name, df in self.tables().items():
+            sinks.write_partitioned(df, f"{out}/{name}", "hymn_index")
+
     def export(self, index: int, out: str = "HymnExports") -> list[str]:
         """The five single files of one hymn. Its rows stream through the driver; for collections use tables()."""
         h = self.hymns().filter(F.col("hymn_index") == index)

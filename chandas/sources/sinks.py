@@ -9,6 +9,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+#: Tasks over which one folder's rows are spread.
+SPREAD = 8
 BOM = "﻿"
 
 
@@ -43,8 +45,11 @@ def write_json(document: dict, path: str) -> None:
 
 
 def write_partitioned(df: DataFrame, path: str, by: str, fmt: str = "parquet") -> None:
-    """A whole collection's table in one distributed write, one folder a value of `by`; no single file is built on the driver."""
-    df.repartition(F.col(by)).write.mode("overwrite").partitionBy(by).format(fmt).save(path)
+    """A whole collection's table in one distributed write, one folder a value of `by`; no single file is built on the driver.
+
+    Rows of one value are spread over a few tasks by their hash, so a value that holds a third of them has no task to itself.
+    """
+    df.repartition(F.col(by), F.pmod(F.xxhash64(F.to_json(F.struct("*"))), F.lit(SPREAD))).write.mode("overwrite").partitionBy(by).format(fmt).save(path)
 
 
 LETTER = "struct<value:string,hasSwara:boolean,swaraType:string,phonemeClass:string,vowelLength:string>"

@@ -139,6 +139,23 @@ def test_parse_edges(spark):
     assert tagged.hymns(p, "k").first().rishis == ["y"]
 
 
+def test_partitioned_write(spark, tmp_path):
+    df = spark.createDataFrame([(i % 2, i, [str(i)]) for i in range(100)], "hymn_index int, n int, a array<string>")
+    sinks.write_partitioned(df, str(tmp_path / "t"), "hymn_index")
+    got = spark.read.parquet(str(tmp_path / "t"))
+    assert sorted((r.hymn_index, r.n, r.a) for r in got.collect()) == sorted((r.hymn_index, r.n, r.a) for r in df.collect()) and (tmp_path / "t" / "hymn_index=1").is_dir()
+
+
+def test_class_counts_of_a_stream(spark, tmp_path):
+    rows = [("क ख", "2024-01-01 01:00:00"), ("क", "2024-01-01 02:00:00"), (None, "2024-01-01 03:00:00"), ("च", "2024-01-05 01:00:00"), ("य", "2024-01-09 01:00:00")]
+    spark.createDataFrame(rows, "dev string, at string").selectExpr("dev", "cast(at as timestamp) at").coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("dev string, at timestamp").parquet(str(tmp_path / "in"))
+    q = ingest.class_counts(stream, "at").writeStream.format("memory").queryName("class_counts").outputMode("complete").trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    got = {(str(r.window.start)[:10], r.phoneme_class): r.n for r in spark.table("class_counts").collect()}
+    assert got == {("2024-01-01", "Velar"): 3, ("2024-01-05", "Palatal"): 1, ("2024-01-09", "Semivowel"): 1}
+
+
 def test_stream(spark, folder, tmp_path):
     q = ingest.start(spark, str(folder), str(tmp_path / "out"), str(tmp_path / "cp"))
     q.awaitTermination(120)

@@ -58,9 +58,11 @@ def letter_rows(hymns: DataFrame, verses: DataFrame) -> DataFrame:
     """The wide table: one row for each letter place of each syllable, in the 31 columns of the full export.
 
     verses: hymn_index, verse_ord, verse_number, meter, dev, iast. A consonant that is onset and nucleus counts twice.
-    Missing letters are null. Verses without a hymn row keep null hymn columns.
+    Missing letters are null. Verses without a hymn row keep null hymn columns. Verses are partitioned by their keys
+    before they are taken apart, so that the many rows made of them needn't move to meet their verse again.
     """
     keys = ["hymn_index", "verse_ord"]
+    verses = verses.repartition(shuffle_partitions(verses.sparkSession), *keys)
     w = align.aligned_words(verses, keys)
     shown = F.coalesce(F.nullif("aligned_iast", F.lit("")), "iast_word", F.lit(""))
     w = w.withColumns({"word_iast": shown, "iast_syllables": syllables.iast_syllables(F.col("aligned_iast")), "dev_syllables": syllables.dev_syllables(F.col("text"))})

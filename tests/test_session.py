@@ -111,7 +111,7 @@ def test_console(spark, folder, tmp_path, monkeypatch):
     exported = []
     monkeypatch.setattr(catalog.Session, "export", lambda self, i, out: exported.append((i, out)))
     monkeypatch.setattr(catalog.Session, "compare_hymns", lambda self, refs: f"hymns {refs}")
-    lines = ["1", "nothing.txt", "", "1", "9", "1", "4", "back", "4", "अग्नि", "1", "6", "(a", "2", "1", "help", "1:1", "2", "2", "1,2", "2", "3", "7", "4", "4", "2", "5", "1,7", "5", "2", "6", "7"]
+    lines = ["1", "nothing.txt", "", "1", "9", "1", "4", "back", "4", "अग्नि", "1", "6", "(a", "2", "1", "help", "1:1", "2", "2", "1,2", "2", "3", "7", "3", "4", "2", "5", "1,7", "5", "2", "6", "7"]
     said, ask, say = typed(lines)
     s = catalog.Session(spark, str(folder))
     assert console.Console(s, ask, say).run("out") == 0
@@ -119,7 +119,7 @@ def test_console(spark, folder, tmp_path, monkeypatch):
     assert said[0] == "Available hymn files in /Hymns:\n  [1] Hymn 1.1.txt\n  [2] Hymn 10.125.txt\n  [3] empty.TXT"
     assert 'Search results for word begins with "अग्नि"\nSummary by hymn:\n  [1] Hymn 1.1 matches=' in text and "Invalid selection." in said and said[-1] == "Session terminated."
     assert "Detailed matches:\n  [1] Hymn 1.1 Verse 1 DEV=" in text and search.BAD_PATTERN in said and "Select at least two verses." in said and "hymns 1,2" in said
-    assert 'Comparison of query across loaded hymns: phoneme class "Retroflex"' in text and "Matched verse references:" in text and "Invalid hymn selection." in said
+    assert 'Comparison of query across loaded hymns: phoneme class "Palatal"' in text and "Matched verse references:" in text and "Invalid hymn selection." in said
     assert [n for _, n in s.loaded] == ["Hymn 1.1"] and exported == [(1, "out"), (2, "out")] and search.NOT_UNDERSTOOD in text
 
 

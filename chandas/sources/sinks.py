@@ -49,7 +49,7 @@ def write_partitioned(df: DataFrame, path: str, by: str, fmt: str = "parquet") -
 
     Rows of one value are spread over a few tasks by their hash, so a value that holds a third of them has no task to itself.
     """
-    df.repartition(F.col(by), F.pmod(F.xxhash64(F.to_json(F.struct("*"))), F.lit(SPREAD))).write.mode("overwrite").partitionBy(by).format(fmt).save(path)
+    df.repartition(F.col(by), F.pmod(F.xxhash64(F.to_json(F.struct(*df.columns))), F.lit(SPREAD))).write.mode("overwrite").partitionBy(by).format(fmt).save(path)
 
 
 LETTER = "struct<value:string,hasSwara:boolean,swaraType:string,phonemeClass:string,vowelLength:string>"

@@ -62,10 +62,10 @@ def compare_verses(selected: DataFrame) -> DataFrame:
     return similarity.pairs(similarity.profile(f.unionByName(none), ["sel_ord"]).withColumn("all", F.lit(0)), ["all"], "sel_ord", KINDS).drop("all")
 
 
-def compare_hymns(verses: DataFrame) -> DataFrame:
-    """Pairs of the hymns whose verses are given (a user's selection), with scores of their summed features and their numbers of verses."""
+def compare_hymns(verses: DataFrame, decimals: int | None = None) -> DataFrame:
+    """Pairs of the hymns whose verses are given (a selection of any size), with scores of their summed features and their numbers of verses."""
     n = verses.groupBy("hymn_index").agg(F.count(F.lit(1)).alias("verses"))
     f = features(verses, ["hymn_index"])
     none = n.select("hymn_index", F.lit("none").alias("kind"), F.lit("").alias("key"), F.lit(1).cast("long").alias("value"))
-    p = similarity.profile(f.unionByName(none), ["hymn_index"]).join(n, "hymn_index").withColumn("all", F.lit(0))
-    return similarity.pairs(p, ["all"], "hymn_index", KINDS, ["verses"]).drop("all")
+    p = similarity.profile(f.unionByName(none), ["hymn_index"]).join(n, "hymn_index")
+    return similarity.selection_pairs(p, "hymn_index", KINDS, ["verses"], decimals)

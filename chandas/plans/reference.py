@@ -377,8 +377,7 @@ REFERENCES = [(1, 2), (1, 3), (2, 2), (3, 4)]
 def compare_hymns(spark, sf):
     """The hymns that have probes: a selection that grows with the tables (the references are the operator's input)."""
     probes = table(spark, sf, "knn_probes").select(F.floor(F.col("verse_id") / 1000).cast("int").alias("hymn_index")).distinct()
-    p = compare.compare_hymns(verses(spark, sf).join(probes, "hymn_index", "left_semi"))
-    return _scores6(p, ["hymn_index_a", "hymn_index_b", "verses_a", "verses_b"])
+    return compare.compare_hymns(verses(spark, sf).join(probes, "hymn_index", "left_semi"), decimals=6)
 
 
 @query(fold_sql.compare_verses(REFERENCES))
